@@ -7,11 +7,16 @@ exactly if each adjacent pair is the encoding of its own bytes. So the distinct
 words of a batch go into a trie, and a depth-first traversal computes for each
 node the last token of the prefix it stands for, once for all words that share
 the prefix. A word's ids are read off by walking its last tokens back.
+
+The trie is held as its sorted words: in that order each word leaves the branch
+of the one before where their common prefix ends, which is the traversal, and
+the branch at hand is all of the trie that has to be in memory.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,32 +37,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Trie:
-    """Words as bytes; ``children[n]`` maps a byte to the node below node n, ``ends[n]`` has the word's number."""
-
-    def __init__(self) -> None:
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: dict[int, int] = {}
-
-    def insert(self, word: bytes, number: int) -> None:
-        node, children = 0, self.children
-        for b in word:
-            below = children[node].get(b)
-            if below is None:
-                below = children[node][b] = len(children)
-                children.append({})
-            node = below
-        self.ends[node] = number
-
-
 class Bpe:
     """Encoder and decoder for a ``tokenizers`` file with a byte-level BPE model.
 
-    ``cache`` words at most are remembered between batches; when they are
-    exceeded the memory starts anew, so it stays bounded on any corpus.
+    ``cache`` words at most are remembered between batches, in two generations:
+    when the younger is full the older is forgotten, so that memory stays
+    bounded on any corpus and words that keep coming stay known.
     """
 
-    def __init__(self, path: str, cache: int = 300_000) -> None:
+    def __init__(self, path: str, cache: int = 400_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -65,6 +53,7 @@ class Bpe:
         self.by_bytes = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.by_id = {i: b for b, i in self.by_bytes.items()}
         self.longest = max(map(len, self.by_bytes))
+        self.sizes = {i: len(b) for i, b in self.by_id.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.by_id |= {i: s.encode() for s, i in self.special.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -72,6 +61,7 @@ class Bpe:
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache = cache
         self.fits: dict[tuple[int, int], bool] = {}
 
@@ -85,47 +75,46 @@ class Bpe:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _fit(self, before: int, token: int) -> bool:
-        """Whether ``before, token`` (before -1: nothing) is the encoding of its own bytes."""
-        key = (before, token)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 4_000_000:
-                self.fits.clear()
-            left, right = self.by_id[before] if before >= 0 else b"", self.by_id[token]
-            known = self.fits[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
+    def _fit(self, pair: tuple[int, int]) -> bool:
+        """Whether two tokens (or -1 and one) are the encoding of their own bytes; remembered."""
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        left, right = self.by_id[pair[0]] if pair[0] >= 0 else b"", self.by_id[pair[1]]
+        self.fits[pair] = ok = self.merged(left + right) == ([left, right] if left else [right])
+        return ok
+
+    def encode_words(self, texts: list[str]) -> list[bytes]:
         """The ids of each distinct word, little-endian unsigned 32-bit."""
-        trie = Trie()
-        for i, w in enumerate(words):
-            trie.insert(w, i)
-        out: list[bytes] = [b""] * len(words)
-        by_bytes, longest, fit, children = self.by_bytes, self.longest, self._fit, trie.children
-        path = bytearray()  # the bytes down to the node at hand
-        last = [-1]  # the last token of every prefix of the path
-        stack = [(0, 0, -1)]
-        while stack:
-            node, depth, byte = stack.pop()
-            del path[max(0, depth - 1) :], last[max(1, depth) :]
-            if byte >= 0:
-                path.append(byte)
-                here = bytes(path[-longest:])
-                for n in range(len(here), 0, -1):
-                    token = by_bytes.get(here[len(here) - n :])
-                    if token is not None and fit(last[depth - n], token):
-                        last.append(token)
-                        break
+        words = [w.encode("utf-8", "replace") for w in texts]
+        out = [b""] * len(words)
+        by_bytes, longest, size, fits, fit = self.by_bytes.get, self.longest, self.sizes, self.fits.get, self._fit
+        before, last = b"", [-1]  # the branch at hand, and the last token of each of its prefixes
+        for number in sorted(range(len(words)), key=words.__getitem__):
+            word, shared = words[number], 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                for start in range(max(0, end - longest), end):
+                    token = by_bytes(word[start:end])
+                    if token is not None:
+                        key = (last[start], token)
+                        known = fits(key)
+                        if fit(key) if known is None else known:
+                            last.append(token)
+                            break
                 else:
-                    raise ValueError(f"the vocabulary lacks byte {byte:#x}")
-            if (number := trie.ends.get(node)) is not None:
-                ids, at = [], depth
-                while at:
-                    ids.append(last[at])
-                    at -= len(self.by_id[last[at]])
-                out[number] = np.array(ids[::-1], "<u4").tobytes()
-            stack += ((below, depth + 1, b) for b, below in children[node].items())
+                    raise ValueError(f"the vocabulary lacks byte {word[end - 1]:#x}")
+            ids, at = [], len(word)
+            while at:
+                token = last[at]
+                ids.append(token)
+                at -= size[token]
+            ids.reverse()
+            out[number] = struct.pack(f"<{len(ids)}I", *ids)
+            before = word
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -134,15 +123,17 @@ class Bpe:
         A special token's string in a text becomes its id, as in the library.
         """
         pieces = [self._pieces(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for p in pieces for w in p) if w not in self.known]
-        if len(self.known) + len(new) > self.cache:
-            self.known = {}
-            new = list(dict.fromkeys(w for p in pieces for w in p))
-        known = self.known
-        known.update((w, np.array([self.special[w]], "<u4").tobytes()) for w in new if w in self.special)
+        met = set().union(*pieces)
+        new = met - self.known.keys()
+        if len(self.known) + len(new) > self.cache // 2:
+            self.older, self.known, new = self.known, {}, met
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
         words = [w for w in new if w not in self.special]
-        known.update(zip(words, self.encode_words([w.encode("utf-8", "replace") for w in words]), strict=True))
-        get = known.__getitem__
+        self.known.update((w, struct.pack("<I", self.special[w])) for w in new if w in self.special)
+        self.known.update(zip(words, self.encode_words(words), strict=True))
+        get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
     def _pieces(self, text: str | None) -> list[str]:
@@ -168,7 +159,7 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def _chunks(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``chars`` characters, so that memory doesn't follow the batch."""
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -217,3 +208,15 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         return pdf
 
     return _map(_with_input(df, text_col, F.col(ids_col)), [T.StructField(text_col, T.StringType())], fill)
+
+
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one Python worker, which is what an exactness check wants."""
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        bpe = load(path)
+        ids = bpe.encode_batch([t if isinstance(t, str) else None for t in pdf["__in"]])
+        return pdf.assign(**{ids_col: ids, decoded_col: [bpe.decode(x) for x in ids]})
+
+    src = _with_input(df.drop(decoded_col), ids_col, F.col(text_col))
+    return _map(src, [T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())], fill)

@@ -67,7 +67,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's BPE ids and of the text decoded from them."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
