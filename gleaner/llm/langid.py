@@ -21,8 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pin
+
 #: Whole texts that training takes from each language at most, about; chosen by a hash of the text.
 MAX_TRAIN_DOCS = 1000
+#: Languages up to this number have their counts broadcast.
+MAX_LANGS = 10_000
 
 
 class Table:
@@ -79,7 +83,7 @@ class Ppm:
         self.langs, self.order = sorted(counts), order
         self.seen: list[tuple[Table, np.ndarray]] = []
         self.escape: list[tuple[Table, np.ndarray]] = []
-        for k in range(order + 1):
+        for k in range(order + 1 if counts else 0):
             width = np.uint32((1 << 8 * (k + 1)) - 1)
             each = []
             for lang in self.langs:
@@ -147,13 +151,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     """Frozen statistics from rows whose language and text are not null.
 
     Of a language with more than ``max_docs`` rows a sample of whole texts is
-    taken, by a hash of the text, that has about ``max_docs``: what is counted
-    and gathered is bounded by that, not by the corpus.
+    taken, by a hash of the text, that has about ``max_docs``, copies once:
+    what is counted and gathered is bounded by that, not by the corpus.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    totals = rows.groupBy("lang").count()
+    totals = pin(rows.groupBy("lang").count())
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("count"))
-    sample = rows.join(totals, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    few = totals.count() <= MAX_LANGS  # else the join is shuffled; skewed languages are split
+    sample = rows.join(F.broadcast(totals) if few else totals, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = sample.select("lang", "text").distinct()  # or a text that a third of the rows copy would all be in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
