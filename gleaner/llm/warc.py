@@ -89,7 +89,7 @@ class Writer:
     def _open(self) -> None:
         words = train_dictionary([r[:65_536] for r in self.held])  # frames are whole; only the training material is cut
         self.name = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-        self.out = self.fs.open_output_stream(self.name)
+        self.out = self.fs.open_output_stream(self.name, compression=None)  # not by the name: records are compressed one by one
         data = words.as_bytes() if words else b""
         self.out.write(struct.pack("<II", DICT_MAGIC, len(data)) + data)
         self.zstd = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=True)
@@ -193,7 +193,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for pdf in batches:
             for name in pdf.archive:
                 rows, held = [], 0
-                with fs.open_input_stream(name) as stream:
+                with fs.open_input_stream(name, compression=None) as stream:
                     for warc, http, payload in read_records(stream):
                         kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")
                         if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
