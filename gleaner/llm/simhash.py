@@ -137,7 +137,7 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates come from ball hashing of SimHash fingerprints over word counts,
     one table for each seed; pairs count if their ``size``-word shingles have a
-    Jaccard similarity of at least ``similarity``. Equal texts (null equals
+    Jaccard similarity of at least ``similarity``; texts without words are alike. Equal texts (null equals
     only null) are one group before that. Of rows with the same text and id
     one stays; null ids come last. All columns are returned unchanged.
     """
