@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from .common import components, pin
 
 _ROWS = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Slots of a sketch.
+SLOTS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -126,24 +129,74 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def hashed_shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of ``size``-word shingles, put together from the hashes of words; a shorter sequence is one."""
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), size)] if words else [], np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out, n = np.zeros(len(words) - size + 1, np.uint64), len(words) - size + 1
+    for j in range(size):
+        out = out * _ODD + each[j : j + n]
+    out = (out ^ out >> np.uint64(29)) * _ODD
+    return np.unique(out ^ out >> np.uint64(32))
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """One-permutation MinHash: of the hashes in each of ``SLOTS`` ranges, a byte of the smallest (0 for none)."""
+    out = np.zeros(SLOTS, np.uint8)
+    slot = (shingles >> np.uint64(58)).astype(np.int64)  # the top 6 bits; the hashes are sorted
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else slot
+    out[slot[first]] = shingles[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows of sketches leave a Jaccard similarity possible; texts with too few shingles to tell always do.
+
+    With 64 slots, 0.25 below the similarity is five standard deviations for 0.8.
+    """
+    used = ((a > 0) | (b > 0)).sum(1)
+    same = ((a == b) & (a > 0)).sum(1)
+    return ((a > 0).sum(1) < 48) | ((b > 0).sum(1) < 48) | (same >= (similarity - 0.25) * used)
+
+
 def jaccard(a: str | None, b: str | None, size: int = 5) -> float:
     """Similarity of the sets of ``size``-word shingles; 1.0 if neither text has a word."""
-    x, y = set(shingles_of(words_of(a), size)), set(shingles_of(words_of(b), size))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    x, y = (hashed_shingles(words_of(t), size) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+def _outlines(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
+    """``(id, k, fps, sketch)`` of ``(id, k, t)``: a fingerprint over word counts for each seed, and a sketch of shingles."""
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf.pop("t")
+            pdf["fps"] = [[_signed(fingerprint(t, 1, s)) for s in seeds] for t in texts]
+            pdf["sketch"] = [sketch(hashed_shingles(words_of(t), size)) for t in texts]
+            yield pdf
+
+    return docs.select("id", "k", "t").mapInPandas(run, f"id {id_type}, k binary, fps array<long>, sketch binary")
+
+
+def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
     Candidates come from ball hashing of SimHash fingerprints over word counts,
     one table for each seed; pairs count if their ``size``-word shingles have a
-    Jaccard similarity of at least ``similarity``; texts without words are alike. Equal texts (null equals
-    only null) are one group before that. Of rows with the same text and id
-    one stays; null ids come last. All columns are returned unchanged.
+    Jaccard similarity of at least ``similarity``, and texts without words are
+    alike. Sketches sort out pairs that cannot, so that only the texts of the
+    others travel. Equal texts are one group before that. Of rows with the same
+    text and id one stays; null ids come last. All columns are returned
+    unchanged; an empty table gives an empty one.
     """
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("\x00null"))))
-    thin = pin(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), key.alias("k")), "t", 1, seeds, keep=("id", "k")))
-    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("fps").alias("fps")))
+    keyed = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("t"))
+    thin = pin(_outlines(keyed, size, seeds))
+    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")))
     pairs = []
     for i in range(len(seeds)):
         mine = texts.select("k", "id", F.col("fps")[i].alias("fp"))
@@ -151,20 +204,45 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs.append(mine.join(heads, "fp").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")))
         left, right = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"k{x}")) for x in "ab")
         pairs.append(links(heads.select("fp"), radius, chain=False).join(left, "a").join(right, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    met = pin(reduce(DataFrame.unionByName, pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    comp = components(_verified(met, docs.select(key.alias("k"), F.col(text_col).alias("t")), size, similarity))
+    met = reduce(DataFrame.unionByName, pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    comp = components(_verified(_possible(met, texts, similarity), keyed.select("k", "t"), size, similarity))
     rooted = texts.join(comp, texts.k == comp.node, "left").select("k", "id", F.coalesce("root", "k").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("h")).select(F.col("h.k").alias("hk"), F.col("h.id").alias("hid"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k"), F.col(id_col).alias("id"))
-    rows = rows.join(kept, (rows.k == kept.hk) & rows.id.eqNullSafe(kept.hid), "left_semi")
-    first = Window.partitionBy("k", "id").orderBy("k")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("h")).select(F.col("h.k").alias("k"), F.col("h.id").alias("id"))
+    rows = thin.groupBy("k", "id").agg(F.count("*").alias("n"))
+    same = lambda x, y: (x.k == y.k) & x.id.eqNullSafe(y.id)
+    gone = pin(rows.join(kept, same(rows, kept), "left_anti").select(F.col("k").alias("__k"), F.col("id").alias("__id")))
+    again = pin(rows.where("n > 1").join(kept, same(rows, kept), "left_semi").select(F.col("k").alias("__k"), F.col("id").alias("__id")))
+    at = lambda d: (key == d["__k"]) & F.col(id_col).eqNullSafe(d["__id"])
+    out = docs.join(_small(gone), at(gone), "left_anti")
+    if again.isEmpty():
+        return out
+    first = Window.partitionBy("__key", "__row." + id_col).orderBy("__key")
+    doubled = docs.join(_small(again), at(again), "left_semi").select(F.struct(*docs.columns).alias("__row"), key.alias("__key"))
+    doubled = doubled.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
+    return out.join(_small(again), at(again), "left_anti").unionByName(doubled)
+
+
+def _small(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """A pinned table of keys, to be broadcast if it has ``most`` rows at most (some 30 MB); else the join is shuffled."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches leave the similarity possible."""
+    left, right = (texts.select(F.col("k").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, SLOTS) for c in ("sa", "sb"))
+            yield pdf.loc[may_be_similar(a, b, similarity), ["a", "b"]]
+
+    return pin(pairs.join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs of text keys whose texts are similar enough."""
-    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    full = texts.join(ends, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
+    ends = pin(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
+    full = texts.join(_small(ends), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
     left, right = (full.select(F.col("k").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

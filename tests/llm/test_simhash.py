@@ -107,3 +107,31 @@ def test_jaccard():
     assert simhash.jaccard("a b c d e f", "a b c d e g") == 1 / 3
     assert simhash.jaccard("a", None) == 0.0
     assert simhash.jaccard(None, "") == 1.0
+
+
+def test_hashed_jaccard_is_that_of_sets():
+    rng = random.Random(1)
+    for n in (0, 1, 4, 5, 6, 60):
+        a = [rng.choice("abcdef") for _ in range(n)]
+        for b in (a, a[1:], [*a[: n // 2], "x", *a[n // 2 + 1 :]], ["z"] * n):
+            x, y = (set(simhash.shingles_of([w.encode() for w in t], 5)) for t in (a, b))
+            want = len(x & y) / len(x | y) if x or y else 1.0
+            assert simhash.jaccard(" ".join(a), " ".join(b)) == want
+
+
+def test_sketches_pass_similar_texts_and_most_others_not():
+    import numpy as np
+
+    rng = random.Random(2)
+    passed = missed = 0
+    for _ in range(60):
+        a = [str(rng.randrange(10**6)) for _ in range(400)]
+        b = [w if rng.random() > 0.02 else "x" for w in a]
+        c = [str(rng.randrange(10**6)) for _ in range(400)]
+        s = [np.frombuffer(simhash.sketch(simhash.hashed_shingles([w.encode() for w in t], 5)), np.uint8)[None] for t in (a, b, c)]
+        if simhash.jaccard(" ".join(a), " ".join(b)) >= 0.8:
+            missed += not simhash.may_be_similar(s[0], s[1], 0.8)[0]
+        passed += simhash.may_be_similar(s[0], s[2], 0.8)[0]
+    assert missed == 0 and passed == 0
+    short = np.frombuffer(simhash.sketch(simhash.hashed_shingles([b"a"], 5)), np.uint8)[None]
+    assert simhash.may_be_similar(short, s[0], 0.8)[0]
