@@ -20,11 +20,11 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import mapped
 
 # Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,17 +171,8 @@ def _chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[i
         yield start, len(texts)
 
 
-def _map(df: DataFrame, add: list[T.StructField], fill: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in _chunks(pdf["__in"].tolist()):
-                yield fill(pdf.iloc[a:b].reset_index(drop=True)).drop(columns="__in")
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields[:-1], *add]))
-
-
-def _with_input(df: DataFrame, out: str, expr: F.Column) -> DataFrame:
-    return df.select(*(F.col(c) for c in df.columns if c != out), expr.alias("__in"))
+def _map(df: DataFrame, column: str, add: str, fill: Callable[[list], list]) -> DataFrame:
+    return mapped(df.withColumn("__in", F.col(column)), ["__in"], add, lambda values: ((range(a, b), fill(values[a:b])) for a, b in _chunks(values)))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -191,32 +182,20 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     already bears the name ``ids_col`` is replaced. Rows are independent, so
     repeated rows and very long texts need nothing of their own.
     """
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf[ids_col] = load(path).encode_batch([t if isinstance(t, str) else None for t in pdf["__in"]])
-        return pdf
-
-    return _map(_with_input(df, ids_col, F.col(text_col)), [T.StructField(ids_col, T.BinaryType())], fill)
+    return _map(df, text_col, f"`{ids_col}` binary", lambda texts: [load(path).encode_batch(texts)])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of binary ids; null ids have the empty text."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        bpe = load(path)
-        pdf[text_col] = [bpe.decode(bytes(x)) if x is not None else "" for x in pdf["__in"]]
-        return pdf
-
-    return _map(_with_input(df, text_col, F.col(ids_col)), [T.StructField(text_col, T.StringType())], fill)
+    return _map(df, ids_col, f"`{text_col}` string", lambda blobs: [[load(path).decode(x or b"") for x in blobs]])
 
 
 def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``encode`` and ``decode`` in one pass of one Python worker, which is what an exactness check wants."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(texts: list[str | None]) -> list[list]:
         bpe = load(path)
-        ids = bpe.encode_batch([t if isinstance(t, str) else None for t in pdf["__in"]])
-        return pdf.assign(**{ids_col: ids, decoded_col: [bpe.decode(x) for x in ids]})
+        ids = bpe.encode_batch(texts)
+        return [ids, [bpe.decode(x) for x in ids]]
 
-    src = _with_input(df.drop(decoded_col), ids_col, F.col(text_col))
-    return _map(src, [T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())], fill)
+    return _map(df, text_col, f"`{ids_col}` binary, `{decoded_col}` string", fill)

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+_SLICE = 1024  # rows that are Python objects at a time
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +40,34 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, inputs: list[str], add: str, make: Callable[..., Iterable[tuple[Any, list[Any]]]]) -> DataFrame:
+    """``df`` without ``inputs`` and with the columns that ``add`` names, made from them in Python.
+
+    ``make`` takes the inputs' values, a list for each, and yields row numbers
+    with the new columns of those rows; a number may come any times. The other
+    columns stay in Arrow, so that ids keep their type and value whether or not
+    there are nulls among them.
+    """
+    new = T._parse_datatype_string(add)
+    keep = [c for c in df.columns if c not in inputs and c not in new.names]
+    kinds = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(a, _SLICE) for batch in batches for a in range(0, batch.num_rows, _SLICE)):
+            held = part.select(keep) if keep else None
+            for rows, columns in make(*(part.column(c).to_pylist() for c in inputs)):
+                old = held.take(pa.array(rows, pa.int64())).columns if held is not None else []
+                made = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*old, *made], schema=pa.schema([*(part.schema.field(c) for c in keep), *kinds]))
+
+    return df.select(*keep, *inputs).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new.fields]))
+
+
+def small(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """A pinned table of keys, to be broadcast if it has ``most`` rows at most (some 30 MB); else the join is shuffled."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0

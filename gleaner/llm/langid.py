@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import mapped, pin
 
 #: Whole texts that training takes from each language at most, about; chosen by a hash of the text.
 MAX_TRAIN_DOCS = 1000
@@ -196,14 +196,6 @@ def identify(docs: DataFrame, model: Ppm, text_col: str = "text", keep: tuple[st
     Rows are independent: nulls and letterless texts get ``und``, repeated rows
     the same answer. Equal code lengths go to the language first in order.
     """
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
+    src = docs.select(*(F.col(c) for c in keep if c not in ("lang_pred", "score", "bits_per_byte")), F.col(text_col).alias("__text"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "lang_pred string, score double, bits_per_byte double"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf.pop("__text")]
-            pdf["lang_pred"], pdf["score"], pdf["bits_per_byte"] = score(held.value, texts)
-            yield pdf
-
-    return src.mapInPandas(run, schema)
+    return mapped(src, ["__text"], "lang_pred string, score double, bits_per_byte double", lambda texts: [(range(len(texts)), list(score(held.value, texts)))])

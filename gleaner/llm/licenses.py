@@ -13,12 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import mapped
 
 # Well-known license notices and texts.
 TEMPLATES = {
@@ -146,20 +146,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     those of different templates may. No templates, no rows.
     """
     chosen = TEMPLATES if templates is None else templates
-    src = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    extra = "license string, coverage double, matched_words int, template_words int, span_start int, span_end int"
-    schema = T.StructType([src.schema.fields[0], *T._parse_datatype_string(extra).fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(chosen)
-        for pdf in batches:
-            rows, at = [], []
-            for i, text in enumerate(pdf["__text"]):
-                got = scan_text(text if isinstance(text, str) else None, index, min_coverage)
-                rows += got
-                at += [i] * len(got)
-            out = pd.DataFrame(rows, columns=schema.names[1:])
-            out.insert(0, id_col, pdf[id_col].take(at).to_numpy())
-            yield out
-
-    return src.mapInPandas(run, schema)
+    held: list[Index] = []
+
+    def make(texts: list[str | None]) -> Iterator[tuple[list[int], list]]:
+        if not held:
+            held.append(Index(chosen))
+        found = [(i, *hit) for i, text in enumerate(texts) for hit in scan_text(text, held[0], min_coverage)]
+        if found:
+            at, *columns = zip(*found, strict=True)
+            yield at, columns
+
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("__text")), ["__text"], "license string, coverage double, matched_words int, template_words int, span_start int, span_end int", make)

@@ -11,14 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import PATTERN, _chunks, load
-from .common import pin
+from .common import mapped, pin
 
 
 class FastBpe:
@@ -95,6 +93,23 @@ class OpenBins:
         return number, self.capacity - space
 
 
+class _Packer:
+    """Packs a partition's rows as they come, group after group; each task has a copy of its own."""
+
+    def __init__(self, capacity: int, most: int) -> None:
+        self.how, self.group = (capacity, most), None
+
+    def take(self, groups: list[int], lengths: list[int]) -> Iterator[tuple[range, list]]:
+        numbers, offsets = [], []
+        for g, n in zip(groups, lengths, strict=True):
+            if g != self.group:
+                self.group, self.bins = g, OpenBins(*self.how)
+            number, offset = self.bins.place(n)
+            numbers.append((g << 40) + number)
+            offsets.append(offset)
+        yield range(len(groups)), [numbers, offsets]
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """``(id, piece, start, length, ids)`` of every document: its ids and ``end_id``, cut only if longer than ``capacity``.
 
@@ -102,26 +117,21 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     one piece that holds ``end_id`` alone. Null ids are kept; repeated rows are
     packed as often as they come. ``ids`` are little-endian unsigned 32-bit.
     """
-    src = docs.select(F.col(id_col), F.col(text_col).alias("__in"))
-    schema = T.StructType([src.schema.fields[0], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> Iterator[tuple[list[int], list]]:
         bpe = _tokenizer(path)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["__in"]]
-            for a, b in _chunks(texts):
-                rows = []
-                for i in range(a, b):
-                    blob = bpe.encode(texts[i]) + end
-                    n = len(blob) // 4
-                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    rows += ((i, k, s, e - s, blob[4 * s : 4 * e]) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)))
-                out = pd.DataFrame(rows, columns=["i", "piece", "start", "length", "ids"])
-                out.insert(0, id_col, pdf[id_col].take(out.pop("i")).to_numpy())
-                yield out
-
-    return src.mapInPandas(run, schema)
+        for a, b in _chunks(texts):
+            rows = []
+            for i in range(a, b):
+                blob = bpe.encode(texts[i]) + end
+                n = len(blob) // 4
+                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                rows += ((i, k, s, e - s, blob[4 * s : 4 * e]) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)))
+            at, *columns = zip(*rows, strict=True)
+            yield at, columns
+
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("__in")), ["__in"], "piece int, start long, length long, ids binary", make)
 
 
 def place(parts: DataFrame, length_col: str = "length", capacity: int = 2048, most_open: int = 65_536, group_pieces: int = 65_536) -> DataFrame:
@@ -139,20 +149,9 @@ def place(parts: DataFrame, length_col: str = "length", capacity: int = 2048, mo
     names = parts.columns
     dealt = parts.withColumn("__order", F.xxhash64(*names)).withColumn("__group", F.pmod(F.xxhash64("__order"), F.lit(groups)))
     dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", F.desc(length_col), "__order")
-    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, bins = -1, OpenBins(capacity, most_open)
-        for pdf in batches:
-            at = []
-            for g, n in zip(pdf["__group"].tolist(), pdf[length_col].tolist(), strict=True):
-                if g != group:
-                    group, bins = g, OpenBins(capacity, most_open)
-                number, offset = bins.place(int(n))
-                at.append(((g << 40) + number, offset))
-            yield pdf[names].assign(sequence_id=[x for x, _ in at], offset=[x for _, x in at])
-
-    return dealt.mapInPandas(run, schema)
+    dealt = dealt.withColumn("__length", F.col(length_col)).drop("__order")
+    packer = _Packer(capacity, most_open)
+    return mapped(dealt, ["__group", "__length"], "sequence_id long, offset long", packer.take)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False, **how: int) -> DataFrame:

@@ -19,9 +19,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import components, pin
+from .common import components, mapped, pin, small
 
 _ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -76,15 +75,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", size: int = 3, seeds:
     Null and wordless texts get fingerprint zero; texts of any length are read whole.
     """
     src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("fps", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf.pop("__text")
-            pdf["fps"] = [[_signed(fingerprint(t, size, s)) for s in seeds] for t in texts]
-            yield pdf
-
-    return src.mapInPandas(run, schema)
+    return mapped(src, ["__text"], "fps array<long>", lambda texts: [(range(len(texts)), [[[_signed(fingerprint(t, size, s)) for s in seeds] for t in texts]])])
 
 
 def _variants(fps: DataFrame, half: int) -> DataFrame:
@@ -170,16 +161,11 @@ def jaccard(a: str | None, b: str | None, size: int = 5) -> float:
 
 def _outlines(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
     """``(id, k, fps, sketch)`` of ``(id, k, t)``: a fingerprint over word counts for each seed, and a sketch of shingles."""
-    id_type = docs.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf.pop("t")
-            pdf["fps"] = [[_signed(fingerprint(t, 1, s)) for s in seeds] for t in texts]
-            pdf["sketch"] = [sketch(hashed_shingles(words_of(t), size)) for t in texts]
-            yield pdf
+    def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
+        yield range(len(texts)), [[[_signed(fingerprint(t, 1, s)) for s in seeds] for t in texts], [sketch(hashed_shingles(words_of(t), size)) for t in texts]]
 
-    return docs.select("id", "k", "t").mapInPandas(run, f"id {id_type}, k binary, fps array<long>, sketch binary")
+    return mapped(docs.select("id", "k", "t"), ["t"], "fps array<long>, sketch binary", make)
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
@@ -213,18 +199,13 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = pin(rows.join(kept, same(rows, kept), "left_anti").select(F.col("k").alias("__k"), F.col("id").alias("__id")))
     again = pin(rows.where("n > 1").join(kept, same(rows, kept), "left_semi").select(F.col("k").alias("__k"), F.col("id").alias("__id")))
     at = lambda d: (key == d["__k"]) & F.col(id_col).eqNullSafe(d["__id"])
-    out = docs.join(_small(gone), at(gone), "left_anti")
+    out = docs.join(small(gone), at(gone), "left_anti")
     if again.isEmpty():
         return out
     first = Window.partitionBy("__key", "__row." + id_col).orderBy("__key")
-    doubled = docs.join(_small(again), at(again), "left_semi").select(F.struct(*docs.columns).alias("__row"), key.alias("__key"))
+    doubled = docs.join(small(again), at(again), "left_semi").select(F.struct(*docs.columns).alias("__row"), key.alias("__key"))
     doubled = doubled.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
-    return out.join(_small(again), at(again), "left_anti").unionByName(doubled)
-
-
-def _small(keys: DataFrame, most: int = 500_000) -> DataFrame:
-    """A pinned table of keys, to be broadcast if it has ``most`` rows at most (some 30 MB); else the join is shuffled."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    return out.join(small(again), at(again), "left_anti").unionByName(doubled)
 
 
 def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -242,7 +223,7 @@ def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs of text keys whose texts are similar enough."""
     ends = pin(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
-    full = texts.join(_small(ends), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
+    full = texts.join(small(ends), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
     left, right = (full.select(F.col("k").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -280,3 +280,12 @@ def test_bins_never_overflow(sizes, most):
         held[number] = offset + n
         assert held[number] <= 50 and bins.open <= most
     assert sorted(held) == list(range(len(held)))
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "the cat", "en"), (None, None, None), (big + 2, "Licensed under CC BY-NC 4.0", "en")], "doc_id long, text string, lang string")
+    want = {big, big + 2}
+    for made in (langid.identify(df, langid.train(df)), packing.pack(df, PATH), bpe.encode(df, PATH)):
+        assert {r.doc_id for r in made.collect()} == want | {None}
+    assert [r.doc_id for r in licenses.scan(df).collect()] == [big + 2]
