@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import reports
 from .operators import analytics, models, profile, sparse, vectors
 from .plans import pipelines
 from .session import session
@@ -40,7 +41,9 @@ def parser() -> argparse.ArgumentParser:
 def _save(run: pipelines.Run, out: str, name: str, began: float, spark: SparkSession) -> dict:
     for table, df in run.tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{table}")
-    meta = {"version": 1, "stage": name, "spark": spark.version, "runtime_seconds": round(time.time() - began, 2), "tables": sorted(run.tables), **run.meta}
+    meta = {"version": 1, "stage": name, **reports.provenance(round(time.time() - began, 2)), "tables": sorted(run.tables), **run.meta}
+    if name in reports.REPORTS:
+        spark.createDataFrame([(reports.REPORTS[name](run),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     spark.createDataFrame([(json.dumps(meta, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
     return meta
 

@@ -165,3 +165,33 @@ def storage_projection(spark, months: int, growth: float, jobs_per_month: float,
     w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each month of the horizon
     rows = rows.withColumn("total_gb", F.sum(F.col("jobs") * gb_per_job).over(w))
     return rows.withColumn("monthly_cost", tiered_cost(F.col("total_gb"), tiers))
+
+
+def step_price(month: F.Column, steps: list[tuple[str, float]]) -> F.Column:
+    """The price of the last step whose first month is not after ``month``; the first step's before that."""
+    price = F.lit(steps[0][1])
+    for start, value in steps[1:]:
+        price = F.when(month >= start, F.lit(value)).otherwise(price)
+    return price
+
+
+def salary_coverage_plot(by_month: DataFrame, low: int = 30) -> DataFrame:
+    """Coverage clipped to 0..1 with a flag for few salaries, and the overall coverage: all salaries over all jobs."""
+    overall = by_month.agg(F.when(F.sum("n_jobs") > 0, F.sum("n_salary_jobs") / F.nullif(F.sum("n_jobs"), F.lit(0))).otherwise(0.0).alias("overall_coverage"))
+    clipped = F.least(F.greatest(F.col("salary_coverage"), F.lit(0.0)), F.lit(1.0))
+    return by_month.crossJoin(F.broadcast(overall)).withColumns({"salary_coverage": clipped, "low_support": F.col("n_salary_jobs") < low})
+
+
+def label_union(before: DataFrame, after: DataFrame, label: str, value: str) -> DataFrame:
+    """Every label of either table with its value in both, 0 where it is absent."""
+    a, b = before.select(label, F.col(value).alias(f"{value}_first")), after.select(label, F.col(value).alias(f"{value}_last"))
+    out = a.join(b, label, "full_outer")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (f"{value}_first", f"{value}_last")})
+
+
+def enrichment_candidates(jobs: DataFrame, domains: DataFrame, skills: str, n: int, id_col: str = "job_id") -> DataFrame:
+    """The first n jobs by id that have no skills or an uncertain domain."""
+    from ..functions.text import non_empty
+
+    found = jobs.join(domains.select(id_col, "is_uncertain"), id_col, "left")
+    return found.where(~non_empty(F.col(skills)) | F.coalesce("is_uncertain", F.lit(True))).orderBy(id_col).limit(n)

@@ -134,9 +134,17 @@ def trajectories(points: DataFrame, top_n: int = 5) -> DataFrame:
     """Mean position ``(x, y)`` of the largest clusters in their first and last bin, and the distance between."""
     sizes = points.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(top_n).select("cluster_id")
     rows = points.join(F.broadcast(sizes), "cluster_id").where("time_bin is not null")
-    w = Window.partitionBy("cluster_id")
     at = rows.groupBy("cluster_id", "time_bin").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
     ends = at.groupBy("cluster_id").agg(F.min_by(F.struct("time_bin", "n", "x", "y"), "time_bin").alias("a"), F.max_by(F.struct("time_bin", "n", "x", "y"), "time_bin").alias("b"))
-    del w
     out = ends.select("cluster_id", *(F.col(f"{s}.{c}").alias(f"{e}_{n}") for s, e in (("a", "start"), ("b", "end")) for c, n in (("time_bin", "bin"), ("n", "n"), ("x", "x"), ("y", "y"))))
     return out.withColumn("projected_distance", F.sqrt(F.pow(F.col("end_x") - F.col("start_x"), 2) + F.pow(F.col("end_y") - F.col("start_y"), 2)))
+
+
+def cluster_titles(df: DataFrame, title: str = "title", n: int = 5) -> DataFrame:
+    """``(cluster_id, n_jobs, titles)``: a cluster's size and its n most frequent titles, ties by title."""
+    counts = df.groupBy("cluster_id", title).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("c"), title)
+    best = counts.where(F.col(title).isNotNull()).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct("r", title)))  # n at most
+    named = best.groupBy("cluster_id").agg(F.array_join(F.transform(ordered, lambda x: x[title]), "; ").alias("titles"))
+    return counts.groupBy("cluster_id").agg(F.sum("c").alias("n_jobs")).join(named, "cluster_id", "left").withColumn("titles", F.coalesce("titles", F.lit("")))

@@ -549,3 +549,48 @@ def hard_negative_error(spark, d):
 def storage_projection(spark, d):
     tiers = [(0.0, 50.0, 0.023), (50.0, 500.0, 0.022), (500.0, 1e18, 0.021)]
     return _rounded(analytics.storage_projection(spark, 36, 0.05, 1000.0, 0.01, tiers), "jobs", "total_gb", "monthly_cost")
+
+
+@query("""with m as (select strftime(range, '%Y-%m') as month from range(date '2025-01-01', date '2027-01-01', interval 1 month))
+          select month, case when month >= '2026-06' then 0.5::double when month >= '2025-09' then 0.8 else 1.2 end as price from m""")
+def step_price(spark, d):
+    months = spark.range(24).select(F.date_format(F.add_months(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM").alias("month"))
+    return months.select("month", analytics.step_price(F.col("month"), [("2025-01", 1.2), ("2025-09", 0.8), ("2026-06", 0.5)]).alias("price"))
+
+
+@query("""with a as (select o_orderpriority as label, avg(o_totalprice) as v from orders where o_orderstatus = 'P' and o_orderpriority <> '5-LOW' group by 1), b as (select o_orderpriority as label, avg(o_totalprice) as v from orders where o_orderstatus = 'F' and o_orderpriority <> '2-HIGH' group by 1)
+          select coalesce(a.label, b.label) as label, round(coalesce(a.v, 0), 4) as v_first, round(coalesce(b.v, 0), 4) as v_last from a full outer join b on a.label = b.label""")
+def label_union(spark, d):
+    at = lambda status, but: _t(spark, d, "orders").where((F.col("o_orderstatus") == status) & (F.col("o_orderpriority") != but)).groupBy(F.col("o_orderpriority").alias("label")).agg(F.avg("o_totalprice").alias("v"))
+    found = analytics.label_union(at("P", "5-LOW"), at("F", "2-HIGH"), "label", "v")
+    return found.select("label", _r("v_first", 4).alias("v_first"), _r("v_last", 4).alias("v_last"))
+
+
+@query("""with c as (select user_id % 5 as cluster_id, event_type as title, count(*) as c from events group by 1, 2), r as (select *, row_number() over (partition by cluster_id order by c desc, title) as r from c)
+          select cluster_id, sum(c)::bigint as n_jobs, string_agg(title, '; ' order by r) filter (where r <= 3) as titles from r group by 1""")
+def cluster_titles(spark, d):
+    return clusters.cluster_titles(_t(spark, d, "events").select((F.col("user_id") % 5).alias("cluster_id"), F.col("event_type").alias("title")), n=3)
+
+
+@query("with " + _PAY + """, b as (select month, count(*) as n_jobs, count(*) filter (usable) as n_salary_jobs from u group by 1)
+       select month, n_jobs, n_salary_jobs, round(n_salary_jobs / n_jobs, 6) as salary_coverage, n_salary_jobs < 100 as low_support, round((select sum(n_salary_jobs) / sum(n_jobs) from b), 6) as overall_coverage from b""")
+def salary_coverage_plot(spark, d):
+    by = analytics.salary_weights(_paid(spark, d)).groupBy("month").agg(F.count("*").alias("n_jobs"), F.count_if("salary_usable").alias("n_salary_jobs"))
+    return _rounded(analytics.salary_coverage_plot(by.withColumn("salary_coverage", F.col("n_salary_jobs") / F.col("n_jobs")), 100), "salary_coverage", "overall_coverage")
+
+
+@query("""select doc_id from (select d.doc_id from documents d left join labels l using (doc_id) where trim(coalesce(case when d.doc_id % 3 = 0 then '' else lang end, '')) = '' or coalesce(l.toxic = 1, true)) order by 1 limit 50""")
+def enrichment_candidates(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("skills"))
+    marks = _t(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("is_uncertain"))
+    return analytics.enrichment_candidates(docs, marks, "skills", 50, "doc_id").select("doc_id")
+
+
+@query()
+def projection_2d(spark, d):
+    return models.projection_2d(_t(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query("select conv_id, turn, sha256(coalesce(text, '')) as digest, length(text)::int as n from conversations")
+def text_digest(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.length("text").alias("n"))

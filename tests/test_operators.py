@@ -9,10 +9,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner import cli, queries
+from gleaner import cli, queries, reports
 from gleaner.operators import analytics, audit, clusters, lifecycle, models, profile, silver, skills, sparse, vectors
 from gleaner.plans import pipelines
-from gleaner.sources import tables
+from gleaner.sources import acquire, tables
 from gleaner.streaming import windows
 
 
@@ -283,6 +283,52 @@ def test_runs(spark, jobs, tmp_path):
     assert "| a\\|b | 1.5000 |" in pipelines.markdown(spark.createDataFrame([("a|b", 1.5)], "x string, y double"), ["x", "y"])
 
 
+def test_reports(spark, jobs):
+    assert "sufficient" in reports.audit_report(pipelines.audit_run(jobs)) or "limited" in reports.audit_report(pipelines.audit_run(jobs))
+    found = pipelines.temporal_clusters(jobs.drop("closed_time"), k=2, size="M")
+    assert "Decay is not available" in reports.cluster_report(found)
+    drift = spark.createDataFrame([("2024-01", None), ("2024-02", 0.5)], "month string, centroid_drift double")
+    assert reports.comparison_note(drift, drift) == "- 2024-02: 0.5000, then 0.5000 (+0.0000)"
+    assert reports.comparison_note(drift.limit(1), drift) == "The runs have no bin in common."
+    assert "| recall@5 | 0.5000 |" in reports.evaluation_report({"recall": 0.5, "n_queries": 2}, 5)
+    assert reports.ticks([str(i) for i in range(30)]) == ["0", "3", "6", "9", "12", "15", "18", "21", "24", "27", "29"] and reports.ticks([]) == []
+    seen = reports.EncodeProfile([0.1, 0.2, 0.3, 0.4], 8)
+    assert math.isclose(seen.percentile_ms(0.5), 250) and math.isclose(seen.percentile_ms(0.95), 385) and math.isclose(seen.texts_per_second, 8)
+    with seen.batch(2):
+        pass
+    assert seen.texts == 10 and reports.EncodeProfile().percentile_ms(0.5) == 0.0
+    assert reports.provenance(1.0)["pyspark"] == spark.version
+
+
+def test_acquire(spark, folder, tmp_path):
+    import zipfile
+
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert acquire.retry(flaky, wait=0) == "ok" and len(calls) == 3
+    with pytest.raises(OSError):
+        acquire.retry(lambda: open("/none/at/all"), tries=2, wait=0)
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.write(folder / "postings.csv", "inner/postings.csv")
+    assert acquire.unpack(tmp_path / "d.zip", tmp_path / "u").name == "inner"
+    got = acquire.sample(spark, str(folder), str(tmp_path / "s"), 1)
+    assert got == {"postings.csv": 1, "jobs/job_skills.csv": 3, "jobs/salaries.csv": 2, "mappings/skills.csv": 2}
+    assert pipelines.silver(spark, str(tmp_path / "s")).count() == 1
+
+
+def test_small_helpers(spark):
+    by = spark.createDataFrame([("a", 10, 3, 0.3), ("b", 10, 3, 1.4)], "month string, n_jobs long, n_salary_jobs long, salary_coverage double")
+    assert rows(analytics.salary_coverage_plot(by, 4), "month", "salary_coverage", "low_support", "overall_coverage") == [("a", 0.3, True, 0.3), ("b", 1.0, True, 0.3)]
+    flat = models.projection_2d(spark.createDataFrame([(1, [1.0]), (2, [3.0])], "i long, v array<double>"), "i", "v")
+    assert [(abs(r.x), r.y) for r in flat.orderBy("i").collect()] == [(1.0, 0.0), (3.0, 0.0)]
+
+
 def test_command_line(spark, jobs, folder, tmp_path, capsys):
     out = str(tmp_path / "o")
     run = lambda *a: cli.main([*a], spark)
