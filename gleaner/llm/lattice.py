@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, pin
+from .common import components, mapped, pin, small
 
 
 def e8_roots() -> np.ndarray:
@@ -86,44 +86,45 @@ def unit_of(v: object) -> np.ndarray | None:
     """The vector in double precision divided by its length; None if null, empty, zero or not finite."""
     if v is None:
         return None
-    x = np.array([np.nan if c is None else c for c in v], np.float64) if not isinstance(v, np.ndarray) or v.dtype == object else v.astype(np.float64)
+    x = np.array([np.nan if c is None else c for c in v], np.float64)
     if not len(x) or not np.isfinite(x).all():
         return None
     top = np.abs(x).max()
     return x / top / np.sqrt(((x / top) ** 2).sum()) if top > 0 else None
 
 
+def _kind(vectors: DataFrame, column: str) -> str:
+    """NumPy's name for the vectors' components: floats travel as floats, all else as doubles."""
+    return "f4" if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else "f8"
+
+
 def _hashed(vectors: DataFrame, how: dict) -> DataFrame:
-    schema = T.StructType([*vectors.schema.fields[:-1], T.StructField("unit", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """``(id, salt, vec, keys)`` of ``(id, salt, bare, v)``: the vector's bytes and keys, both null where it takes no part."""
+    kind = _kind(vectors, "v")
+    hashers: dict[int, Hasher] = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashers: dict[int, Hasher] = {}
-        for pdf in batches:
-            units = [unit_of(v) for v in pdf.pop("v")]
-            keys: list[np.ndarray | None] = [None] * len(units)
-            for a in range(0, len(units), 2048):
-                by_dim: dict[int, list[int]] = {}
-                for i in range(a, min(a + 2048, len(units))):
-                    if units[i] is not None and pdf["salt"].iat[i] is not None and not pd.isna(pdf["salt"].iat[i]):
-                        by_dim.setdefault(len(units[i]), []).append(i)
-                for dim, rows in by_dim.items():
-                    hasher = hashers.setdefault(dim, Hasher(dim, **how))
-                    made = hasher.keys(np.stack([units[i] for i in rows]), pdf["salt"].to_numpy()[rows].astype(np.int64))
-                    for i, k in zip(rows, made, strict=True):
-                        keys[i] = k
-            pdf["unit"] = [u.tobytes() if k is not None else None for u, k in zip(units, keys, strict=True)]
-            pdf["keys"] = keys
-            yield pdf
-
-    return vectors.mapInPandas(run, schema)
-
-
-def _pairs_in(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    def make(salts: list[int], bare: list[bool], vectors: list) -> Iterator[tuple[range, list]]:
+        for a in range(0, len(vectors), 2048):
+            part = range(a, min(a + 2048, len(vectors)))
+            units = {i: u for i in part if not bare[i] and (u := unit_of(vectors[i])) is not None}
+            keys: dict[int, np.ndarray] = {}
+            for dim in {len(u) for u in units.values()}:
+                rows = [i for i, u in units.items() if len(u) == dim]
+                hasher = hashers.setdefault(dim, Hasher(dim, **how))
+                keys |= zip(rows, hasher.keys(np.stack([units[i] for i in rows]), np.array([salts[i] for i in rows], np.int64)), strict=True)
+            yield part, [[salts[i] for i in part], [np.asarray(vectors[i], kind).tobytes() if i in keys else None for i in part], [keys.get(i) for i in part]]
+
+    return mapped(vectors, ["salt", "bare", "v"], "salt long, vec binary, keys array<long>", make)
+
+
+def _pairs_in(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
     """Verified pairs of a group's classes whose smallest common key is the group's."""
     key, i, j = group[["key", "i", "j"]].iloc[0]
     found = []
     for _, same in group.groupby("size_of", sort=False) if group["size_of"].nunique() > 1 else [(0, group)]:
-        unit = np.frombuffer(b"".join(same["unit"]), np.float64).reshape(len(same), -1)
+        unit = np.frombuffer(b"".join(same["vec"]), kind).astype(np.float64).reshape(len(same), -1)
+        unit = unit / np.abs(unit).max(1, keepdims=True)
+        unit /= np.sqrt((unit**2).sum(1, keepdims=True))
         cid, salt, block = (same[c].to_numpy() for c in ("cid", "salt", "block"))
         left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(same)),) * 2
         a, b = np.nonzero(unit[left] @ unit[right].T >= threshold)
@@ -142,15 +143,19 @@ def _pairs_in(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
 
-def class_links(classes: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
-    """``(a, b)``, a < b, of classes ``(cid, salt, unit, keys)`` with a cosine of ``threshold`` at least; every pair once."""
-    rows = classes.select("cid", "salt", "unit", "keys", F.explode(F.array_distinct("keys")).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counts = pin(counts.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
-    met = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+def class_links(classes: DataFrame, threshold: float, kind: str = "f8", block_rows: int = 512) -> DataFrame:
+    """``(a, b)``, a < b, of classes ``(cid, salt, vec, keys)`` with a cosine of ``threshold`` at least; every pair once.
+
+    Only the cells that have to be split are counted out to the rows, so
+    vectors are shuffled once, to the group they are compared in.
+    """
+    rows = classes.select("cid", "salt", "vec", "keys", F.explode(F.array_distinct("keys")).alias("key"))
+    large = classes.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    large = small(pin(large.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))))
+    met = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a row of block b goes to the pairs of blocks (i, j), i <= j, that b is one of
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "salt", "unit", "keys", F.octet_length("unit").alias("size_of"))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "salt", "vec", "keys", F.octet_length("vec").alias("size_of"))
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,12 +165,12 @@ def class_links(classes: DataFrame, threshold: float, block_rows: int = 512) ->
             k = pdf[["key", "i", "j"]].to_numpy()
             edges = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
             starts = [0, *edges.tolist()]
-            out = [_pairs_in(pdf.iloc[s:e], threshold) for s, e in zip(starts, starts[1:], strict=False) if e - s > 1]
+            out = [_pairs_in(pdf.iloc[s:e], threshold, kind) for s, e in zip(starts, starts[1:], strict=False) if e - s > 1]
             rest = pdf.iloc[starts[-1] :]
             if out:
                 yield pd.concat(out)
         if rest is not None and len(rest) > 1:
-            yield _pairs_in(rest, threshold)
+            yield _pairs_in(rest, threshold, kind)
 
     return dealt.mapInPandas(run, "a long, b long")
 
@@ -181,21 +186,20 @@ def near_dups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     returned, but names no component. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.xxhash64(F.col(label_col).cast("string")).alias("salt"), F.col(label_col).isNull().alias("bare"), F.col(vector_col).alias("v"))
-    rows = rows.select("id", F.when(~F.col("bare"), F.col("salt")).alias("salt"), "v")
-    # equal vectors are equal in direction: the class is the unit vector with its label
+    kind = _kind(rows, "v")
     rows = pin(_hashed(rows, {"tables": tables, "probes": probes, "scale": scale}))
-    good = rows.where("unit is not null")
-    classes = good.groupBy("salt", "unit").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    good = rows.where("vec is not null")
+    classes = good.groupBy("salt", "vec").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     classes = pin(classes.withColumn("cid", F.monotonically_increasing_id()))
-    pairs = pin(class_links(classes.select("cid", "salt", "unit", "keys"), threshold))
+    pairs = pin(class_links(classes.select("cid", "salt", "vec", "keys"), threshold, kind))
     sizes = classes.select("cid", "n")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.sum("n").alias("more"))
     comp = components(pairs)
     full = classes.join(degree, classes.cid == degree.a, "left").join(comp, F.col("cid") == F.col("node"), "left")
-    full = pin(full.select("salt", "unit", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root")))
+    full = pin(full.select("salt", "vec", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root")))
     named = full.groupBy("root").agg(F.min("first").alias("component_id"))
-    full = full.join(named, "root").select(F.col("salt").alias("s"), F.col("unit").alias("u"), "n_links", "component_id")
-    out = rows.select("id", "salt", "unit").join(full, (F.col("salt") == F.col("s")) & (F.col("unit") == F.col("u")), "left")
+    full = full.join(named, "root").select(F.col("salt").alias("s"), F.col("vec").alias("u"), "n_links", "component_id")
+    out = rows.select("id", "salt", "vec").join(full, (F.col("salt") == F.col("s")) & (F.col("vec") == F.col("u")), "left")
     comp_id = F.when(F.col("u").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), (F.col("id") == comp_id).alias("kept"))

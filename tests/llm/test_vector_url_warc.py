@@ -97,7 +97,7 @@ def brute_lattice(rows, threshold):
 
 @pytest.mark.parametrize("block", [512, 4])
 def test_lattice_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(lattice.class_links, "__defaults__", (block,))
+    monkeypatch.setattr(lattice.class_links, "__defaults__", ("f8", block))
     rng = np.random.default_rng(3)
     rows, base = [], [rng.normal(size=24) for _ in range(6)]
     for i in range(120):
