@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.salary import annual_salary, usd_only
+from ..lineage import pin
 
 # --- salary -----------------------------------------------------------------
 
@@ -74,9 +75,13 @@ def stride_sample(df: DataFrame, n: int, ts: str, time_bin: str, id_col: str) ->
 
 
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``__n``, its position from 0 in the given order: sorted in parts, whose sizes are added up."""
+    """``df`` with ``__n``, its position from 0 in the given order: sorted in parts, whose sizes are added up.
+
+    The parts are pinned, as a second range partitioning may be cut elsewhere.
+    """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     parts = parts.withColumn("__m", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    parts = pin(parts)
     sizes = {r["__p"]: r["n"] for r in parts.groupBy("__p").agg(F.count("*").alias("n")).collect()}
     start, at = [], 0
     for p in range(max(sizes, default=-1) + 1):
