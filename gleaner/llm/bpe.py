@@ -45,7 +45,7 @@ class Bpe:
     bounded on any corpus and words that keep coming stay known.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 1_000_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -77,7 +77,7 @@ class Bpe:
 
     def _fit(self, pair: tuple[int, int]) -> bool:
         """Whether two tokens (or -1 and one) are the encoding of their own bytes; remembered."""
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         left, right = self.by_id[pair[0]] if pair[0] >= 0 else b"", self.by_id[pair[1]]
         self.fits[pair] = ok = self.merged(left + right) == ([left, right] if left else [right])
