@@ -58,7 +58,7 @@ def temporal_demo(jobs: DataFrame, time_column: str = "listed_time", size: str =
     sizes = rows.groupBy("month").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_jobs).select("month")
     rows = rows.join(F.broadcast(sizes), "month", "left_semi").cache()  # one row for each time bin
     if representation == "tfidf_svd":
-        vec = models.svd_embeddings(sparse.tfidf(rows, "job_id", "job_card_text", sparse.DRIFT), "job_id")
+        vec = models.svd_embeddings(sparse.doc_vectors(rows, "job_id", "job_card_text", sparse.DRIFT), "job_id")
     else:
         coder = encoder or models.MockEncoder()
         vec = coder.encode(rows.select("job_id", "job_card_text"), "job_card_text").select("job_id", F.col("embedding").alias("vector"))
@@ -87,9 +87,9 @@ def temporal_clusters(jobs: DataFrame, k: int = 12, size: str = "D", max_rows: i
     rows = analytics.hash_sample(jobs, max_rows, "job_id") if max_rows else jobs
     rows = with_time(rows, found.time, "posted").withColumn("time_bin", time_bin(F.col("posted"), size))
     rows = rows.withColumn("__text", join_texts([F.col(c) for c in found.text])).cache()
-    postings = sparse.tfidf(rows, "job_id", "__text", sparse.CLUSTERS)
     if encoder is None:
-        vec = models.svd_embeddings(postings, "job_id")
+        docs = sparse.doc_vectors(rows, "job_id", "__text", sparse.CLUSTERS).persist()
+        vec, postings = models.svd_embeddings(docs, "job_id"), sparse.as_postings(docs, "job_id")
     else:
         vec = encoder.encode(rows.select("job_id", "__text"), "__text").select("job_id", F.col("embedding").alias("vector"))
         postings = sparse.tfidf(rows, "job_id", "__text", sparse.LABELS)
@@ -119,7 +119,7 @@ def skill_evolution(jobs: DataFrame, size: str = "M", max_rows: int | None = Non
     kind = rows.schema["job_id"].dataType.simpleString()
     prompts = rows.sparkSession.createDataFrame([(-1 - i, p) for i, (_, _, p) in enumerate(skills.DOMAINS.values())], "i long, __text string")
     both = rows.select(F.col("job_id").cast("long").alias("i"), "__text").unionByName(prompts)
-    vec = models.svd_embeddings(sparse.tfidf(both, "i", "__text", sparse.CLUSTERS), "i")
+    vec = models.svd_embeddings(sparse.doc_vectors(both, "i", "__text", sparse.CLUSTERS), "i")
     vec = vec.cache()
     seeds = {r["i"]: r["vector"] for r in vec.where("i < 0").collect()}
     named = {d: seeds.get(-1 - i, [0.0] * len(next(iter(seeds.values()), []))) for i, d in enumerate(skills.DOMAINS)} if seeds else None

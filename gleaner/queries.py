@@ -15,6 +15,7 @@ from .functions import salary as pay
 from .functions import text as tx
 from .functions import time as tm
 from .functions import vector as vc
+from .plans import pipelines
 from .operators import analytics, audit, clusters, lifecycle, models, profile, silver, skills, sparse, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,7 +368,7 @@ def tfidf_retrieval(spark, d):
 
 @query()
 def svd_vectors(spark, d):
-    return models.svd_embeddings(sparse.tfidf(_t(spark, d, "documents"), "doc_id", "text", sparse.Config(2_000, bigrams=False, stop_words=sparse.ENGLISH_STOP_WORDS)), "doc_id", 16)
+    return models.svd_embeddings(sparse.doc_vectors(_t(spark, d, "documents"), "doc_id", "text", sparse.Config(2_000, bigrams=False, stop_words=sparse.ENGLISH_STOP_WORDS)), "doc_id", 16)
 
 
 @query()
@@ -594,3 +595,32 @@ def projection_2d(spark, d):
 @query("select conv_id, turn, sha256(coalesce(text, '')) as digest, length(text)::int as n from conversations")
 def text_digest(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.length("text").alias("n"))
+
+
+# --- whole runs -------------------------------------------------------------
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as postings of five months, with skills and salaries of a sort."""
+    c, i = F.col, F.col("doc_id")
+    month = F.add_months(F.lit("2024-01-01").cast("date"), (i % 5).cast("int"))
+    return _t(spark, d, "documents").select(
+        i.alias("job_id"), c("source").alias("title"), F.substring("text", 1, 80).alias("description"), c("text").alias("job_card_text"), F.concat("lang", F.lit(", "), "source").alias("skills_text"),
+        F.date_format(F.date_add(month, (i % 28).cast("int")), "yyyy-MM-dd").alias("listed_time"), F.when(i % 3 > 0, F.date_format(F.date_add(month, (i % 28 + i % 40).cast("int")), "yyyy-MM-dd")).alias("closed_time"),
+        F.when(i % 4 > 0, (c("n_chars") * 10 + 20_000).cast("double")).alias("normalized_salary"), F.lit("USD").alias("currency"), F.lit("YEARLY").alias("pay_period"),
+    )
+
+
+@query()
+def run_temporal_demo(spark, d):
+    return pipelines.temporal_demo(_jobs(spark, d), salary=True).tables["drift"]
+
+
+@query()
+def run_temporal_clusters(spark, d):
+    return pipelines.temporal_clusters(_jobs(spark, d), k=12, size="D").tables["metrics"]
+
+
+@query()
+def run_skill_evolution(spark, d):
+    return pipelines.skill_evolution(_jobs(spark, d), size="D").tables["shares"]

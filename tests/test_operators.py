@@ -149,7 +149,7 @@ def test_svd_keeps_cosines(spark):
 
     rng = np.random.default_rng(0)
     dense = rng.random((12, 3)) @ rng.random((3, 8))
-    post = spark.createDataFrame([(i, f"t{j}", float(dense[i, j])) for i in range(12) for j in range(8)], "i long, term string, weight double")
+    post = spark.createDataFrame([(i, [f"t{j}" for j in range(8)], dense[i].tolist()) for i in range(12)], "i long, terms array<string>, weights array<double>")
     got = {r.i: np.array(r.vector) for r in models.svd_embeddings(post, "i", 3).collect()}
     for a in range(12):
         for b in range(a):
