@@ -1,43 +1,19 @@
-"""What the corpus operators share: the shared folder, cut lineage, connected components."""
+"""What the corpus operators share: rows through Python, key tables, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_SLICE = 1024  # rows that are Python objects at a time
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only a session that names none (tests, a laptop) gets a folder of its own.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return named or held.get()
+from ..lineage import pin
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SLICE = 1024  # rows that are Python objects at a time
 
 
 def mapped(df: DataFrame, inputs: list[str], add: str, make: Callable[..., Iterable[tuple[Any, list[Any]]]]) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, mapped, pin, small
+from ..lineage import pin
+from .common import components, mapped, small
 
 
 def e8_roots() -> np.ndarray:

@@ -78,6 +78,13 @@ _QUERIES = (op1_language_id, op2_nearest, op3_lattice, op4_packing, op5_license_
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 ORACLE_SQL = {
+    "op3_lattice": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and list_inner_product(embedding::double[], embedding::double[]) > 0),
+        l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(x, y) as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+        c as (select x, min(y) as y from r group by x), n as (select x, count(*) as n from l group by x)
+        select e.vec_id, coalesce(n.n, 0)::bigint as n_links, least(e.vec_id, coalesce(c.y, e.vec_id)) as component_id, e.vec_id = least(e.vec_id, coalesce(c.y, e.vec_id)) as kept
+        from embeddings e left join n on n.x = e.vec_id left join c on c.x = e.vec_id""",
     "op7_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
         k as (select payload, max(page_id) as keeper from p where octet_length(payload) >= 1000 group by payload)

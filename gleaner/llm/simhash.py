@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mapped, pin, small
+from ..lineage import pin
+from .common import components, mapped, small
 
 _ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)

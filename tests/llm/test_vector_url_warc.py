@@ -266,7 +266,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == third
 
 
-@pytest.mark.parametrize("name", ["op7_warc", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_lattice", "op7_warc", "op9_line_dedup"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
@@ -274,7 +274,7 @@ def test_queries_equal_their_sql(spark, name):
 
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     names = [c[0] for c in found.description]
