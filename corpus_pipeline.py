@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.lineage import scratch
 from gleaner.llm import langid, linededup, packing, simhash
-from gleaner.llm.common import scratch
 
 #: A text whose shortest code is longer than its bytes is in none of the learned languages.
 MAX_BITS_PER_BYTE = 8.0
