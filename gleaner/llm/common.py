@@ -41,7 +41,7 @@ def mapped(df: DataFrame, inputs: list[str], add: str, make: Callable[..., Itera
 
 def small(keys: DataFrame, most: int = 500_000) -> DataFrame:
     """A pinned table of keys, to be broadcast if it has ``most`` rows at most (some 30 MB); else the join is shuffled."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

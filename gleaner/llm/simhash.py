@@ -55,14 +55,9 @@ def _signs(hashes: np.ndarray, weights: np.ndarray | None) -> int:
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash over ``size``-word shingles, repeats included; 0 for no words."""
-    words = words_of(text)
-    if not words:
+    grams = shingles_of(words_of(text), size)
+    if not grams:
         return 0
-    if size == 1:
-        counts = Counter(words)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
-        return _signs(hashes, np.fromiter(counts.values(), np.float64, len(counts)))
-    grams = shingles_of(words, size)
     return _signs(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, len(grams)), None)
 
 
@@ -121,17 +116,34 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def hashed_shingles(words: list[bytes], size: int) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * _ODD
+    return x ^ x >> np.uint64(32)
+
+
+def hashed_shingles(words: list[bytes], size: int, known: dict[bytes, int] | None = None) -> np.ndarray:
     """Distinct 64-bit hashes of ``size``-word shingles, put together from the hashes of words; a shorter sequence is one."""
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), size)] if words else [], np.uint64)
-    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    known = known or {w: xxhash.xxh64_intdigest(w) for w in set(words)}
     each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     out, n = np.zeros(len(words) - size + 1, np.uint64), len(words) - size + 1
     for j in range(size):
         out = out * _ODD + each[j : j + n]
-    out = (out ^ out >> np.uint64(29)) * _ODD
-    return np.unique(out ^ out >> np.uint64(32))
+    return np.unique(_mixed(out))
+
+
+def outline(text: str | None, size: int, seeds: tuple[int, ...]) -> tuple[list[int], bytes]:
+    """Fingerprints over word counts, one for each seed, and the sketch of ``size``-word shingles; each distinct word is hashed once."""
+    words = words_of(text)
+    if not words:
+        return [0] * len(seeds), sketch(hashed_shingles([], size))
+    counts = Counter(words)
+    known = {w: xxhash.xxh64_intdigest(w) for w in counts}
+    base = np.fromiter(known.values(), np.uint64, len(known))
+    weights = np.fromiter(counts.values(), np.float64, len(counts))
+    fps = [_signs(_mixed(base * np.uint64(2 * seed + 1)), weights) for seed in seeds]
+    return fps, sketch(hashed_shingles(words, size, known))
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -164,12 +176,13 @@ def _outlines(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
     """``(id, k, fps, sketch)`` of ``(id, k, t)``: a fingerprint over word counts for each seed, and a sketch of shingles."""
 
     def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
-        yield range(len(texts)), [[[_signed(fingerprint(t, 1, s)) for s in seeds] for t in texts], [sketch(hashed_shingles(words_of(t), size)) for t in texts]]
+        made = [outline(t, size, seeds) for t in texts]
+        yield range(len(texts)), [[[_signed(x) for x in fps] for fps, _ in made], [s for _, s in made]]
 
     return mapped(docs.select("id", "k", "t"), ["t"], "fps array<long>, sketch binary", make)
 
 
-def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
+def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
     Candidates come from ball hashing of SimHash fingerprints over word counts,
