@@ -28,8 +28,13 @@ def mapped(df: DataFrame, inputs: list[str], add: str, make: Callable[..., Itera
     keep = [c for c in df.columns if c not in inputs and c not in new.names]
     kinds = to_arrow_schema(new)
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (batch.slice(a, _SLICE) for a in range(0, batch.num_rows, _SLICE))
+            pa.default_memory_pool().release_unused()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (batch.slice(a, _SLICE) for batch in batches for a in range(0, batch.num_rows, _SLICE)):
+        for part in slices(batches):
             held = part.select(keep) if keep else None
             for rows, columns in make(*(part.column(c).to_pylist() for c in inputs)):
                 old = held.take(pa.array(rows, pa.int64())).columns if held is not None else []

@@ -120,7 +120,7 @@ class Ppm:
             out[miss] = shorter + np.where((ctx >= 0)[:, None], esc[ctx], 0)
         return out
 
-    def lengths(self, texts: list[str], chunk: int = 1 << 19) -> np.ndarray:
+    def lengths(self, texts: list[str], chunk: int = 1 << 17) -> np.ndarray:
         """Code lengths in bits: a row for each text, a column for each language."""
         out = np.zeros((len(texts), len(self.langs)))
         held: list[np.ndarray] = []
