@@ -5,13 +5,15 @@ a variant that is at most half the radius from either, so every distinct
 fingerprint emits all variants within half the radius, the variants are
 shuffled, and fingerprints that meet at one variant are verified. With radius
 2 a variant is met by at most 65 fingerprints, whatever the size of the corpus.
+
+``drop_near_dups`` keeps one text of each group by Jaccard similarity; its
+candidates share MinHash keys.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +29,9 @@ _ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Slots of a sketch.
 SLOTS = 64
+#: Keys of a text in near-dedup, and MinHash values in a key.
+KEYS, ROWS = 32, 4
+_ORDERS = [(np.uint64(xxhash.xxh64_intdigest(b"xor", i)), np.uint64(xxhash.xxh64_intdigest(b"times", i) | 1)) for i in range(KEYS * ROWS)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -160,38 +165,54 @@ def jaccard(a: str | None, b: str | None, size: int = 5) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _outlines(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
-    """``(id, k, fps, sketch)`` of ``(id, k, t)``: a fingerprint over word counts for each seed, and a sketch of shingles."""
+def minhashes(shingles: np.ndarray) -> np.ndarray:
+    """``KEYS * ROWS`` smallest values of the shingles' hashes, each in another order; zeros if there are none."""
+    if not len(shingles):
+        return np.zeros(len(_ORDERS), np.uint64)
+    return np.fromiter((((shingles ^ x) * m).min() for x, m in _ORDERS), np.uint64, len(_ORDERS))
+
+
+def keys_of(shingles: np.ndarray) -> list[int]:
+    """``KEYS`` signed keys, each of ``ROWS`` MinHash values; texts of similarity s share a key with probability s ** ROWS each."""
+    each, at = minhashes(shingles).reshape(KEYS, ROWS), np.arange(KEYS, dtype=np.uint64)
+    for j in range(ROWS):
+        at = (at ^ each[:, j]) * _ODD
+        at ^= at >> np.uint64(29)
+    return at.view(np.int64).tolist()
+
+
+def _outlines(docs: DataFrame, size: int) -> DataFrame:
+    """``(id, k, keys, sketch)`` of ``(id, k, t)``: the keys that find near copies, and a sketch of shingles."""
 
     def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
-        yield range(len(texts)), [[[_signed(fingerprint(t, 1, s)) for s in seeds] for t in texts], [sketch(hashed_shingles(words_of(t), size)) for t in texts]]
+        shingles = [hashed_shingles(words_of(t), size) for t in texts]
+        yield range(len(texts)), [[keys_of(x) for x in shingles], [sketch(x) for x in shingles]]
 
-    return mapped(docs.select("id", "k", "t"), ["t"], "fps array<long>, sketch binary", make)
+    return mapped(docs.select("id", "k", "t"), ["t"], "keys array<long>, sketch binary", make)
 
 
-def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
+def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
-    Candidates come from ball hashing of SimHash fingerprints over word counts,
-    one table for each seed; pairs count if their ``size``-word shingles have a
-    Jaccard similarity of at least ``similarity``, and texts without words are
-    alike. Sketches sort out pairs that cannot, so that only the texts of the
-    others travel. Equal texts are one group before that. Of rows with the same
-    text and id one stays; null ids come last. All columns are returned
-    unchanged; an empty table gives an empty one.
+    Pairs count if their ``size``-word shingles have a Jaccard similarity of at
+    least ``similarity``, and texts without words are alike. Candidates share
+    one of ``KEYS`` keys of ``ROWS`` MinHash values over the shingles, so what
+    is met depends on that similarity alone, not on the kind of edit or the
+    length: a pair at 0.8 is missed with a probability of 5e-8. Sketches sort
+    out pairs that cannot be similar, so that only the texts of the others
+    travel. Equal texts are one group before that. Of rows with the same text
+    and id one stays; null ids come last. All columns are returned unchanged;
+    an empty table gives an empty one.
     """
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("\x00null"))))
     keyed = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("t"))
-    thin = pin(_outlines(keyed, size, seeds))
-    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")))
-    pairs = []
-    for i in range(len(seeds)):
-        mine = texts.select("k", "id", F.col("fps")[i].alias("fp"))
-        heads = mine.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("h")).select("fp", F.col("h.k").alias("head"))
-        pairs.append(mine.join(heads, "fp").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")))
-        left, right = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"k{x}")) for x in "ab")
-        pairs.append(links(heads.select("fp"), radius, chain=False).join(left, "a").join(right, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    met = reduce(DataFrame.unionByName, pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    thin = pin(_outlines(keyed, size))
+    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    thin = thin.drop("keys", "sketch")
+    one = Window.partitionBy("key")
+    met = texts.select("k", F.explode("keys").alias("key")).select("key", "k", F.min("k").over(one).alias("head"), F.max("k").over(one).alias("last"))
+    met = met.where("head < last").select("key", "k", "head")
+    met = met.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
     comp = components(_verified(_possible(met, texts, similarity), keyed.select("k", "t"), size, similarity))
     rooted = texts.join(comp, texts.k == comp.node, "left").select("k", "id", F.coalesce("root", "k").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("h")).select(F.col("h.k").alias("k"), F.col("h.id").alias("id"))

@@ -135,3 +135,29 @@ def test_sketches_pass_similar_texts_and_most_others_not():
     assert missed == 0 and passed == 0
     short = np.frombuffer(simhash.sketch(simhash.hashed_shingles([b"a"], 5)), np.uint8)[None]
     assert simhash.may_be_similar(short, s[0], 0.8)[0]
+
+
+def edits(rng, n):
+    """Pairs of random texts at 0.8 or more, by kind of edit."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = {"appended": [], "cut": [], "replaced": []}
+    while min(map(len, out.values())) < n:
+        words = rng.choices(vocabulary, k=rng.randint(30, 300))
+        block, at = max(1, len(words) // rng.randint(6, 20)), rng.randint(0, len(words) // 2)
+        one = rng.sample(range(len(words)), max(1, len(words) // 70))
+        made = {
+            "appended": words + rng.choices(vocabulary, k=block),
+            "cut": words[:at] + words[at + block :],
+            "replaced": [rng.choice(vocabulary) if i in one else w for i, w in enumerate(words)],
+        }
+        kind = min(out, key=lambda k: len(out[k]))  # each text has one copy
+        if simhash.jaccard(" ".join(words), " ".join(made[kind])) >= 0.8:
+            out[kind].append((" ".join(words), " ".join(made[kind])))
+    return out
+
+
+def test_block_edits_and_short_texts_are_met(spark):
+    pairs = [p for kind in edits(random.Random(5), 60).values() for p in kind]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = simhash.drop_near_dups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 2 * len(pairs), 2))
