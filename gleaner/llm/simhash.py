@@ -31,6 +31,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 64
 #: Keys of a text in near-dedup, and MinHash values in a key.
 KEYS, ROWS = 32, 4
+#: Texts of a key that are compared with each other, or with as many others, in a task.
+BLOCK = 4096
 _ORDERS = [(np.uint64(xxhash.xxh64_intdigest(b"xor", i)), np.uint64(xxhash.xxh64_intdigest(b"times", i) | 1)) for i in range(KEYS * ROWS)]
 
 
@@ -172,9 +174,9 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return np.fromiter((((shingles ^ x) * m).min() for x, m in _ORDERS), np.uint64, len(_ORDERS))
 
 
-def keys_of(shingles: np.ndarray) -> list[int]:
-    """``KEYS`` signed keys, each of ``ROWS`` MinHash values; texts of similarity s share a key with probability s ** ROWS each."""
-    each, at = minhashes(shingles).reshape(KEYS, ROWS), np.arange(KEYS, dtype=np.uint64)
+def keys_of(values: np.ndarray) -> list[int]:
+    """``KEYS`` signed keys, each of ``ROWS`` of the MinHash values; texts of similarity s share a key with probability s ** ROWS each."""
+    each, at = values.reshape(KEYS, ROWS), np.arange(KEYS, dtype=np.uint64)
     for j in range(ROWS):
         at = (at ^ each[:, j]) * _ODD
         at ^= at >> np.uint64(29)
@@ -182,13 +184,14 @@ def keys_of(shingles: np.ndarray) -> list[int]:
 
 
 def _outlines(docs: DataFrame, size: int) -> DataFrame:
-    """``(id, k, keys, sketch)`` of ``(id, k, t)``: the keys that find near copies, and a sketch of shingles."""
+    """``(id, k, keys, values, sketch)`` of ``(id, k, t)``: the keys that find near copies, a byte of each MinHash value, and a sketch of shingles."""
 
     def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
         shingles = [hashed_shingles(words_of(t), size) for t in texts]
-        yield range(len(texts)), [[keys_of(x) for x in shingles], [sketch(x) for x in shingles]]
+        values = [minhashes(x) for x in shingles]
+        yield range(len(texts)), [[keys_of(x) for x in values], [(x >> np.uint64(32)).astype(np.uint8).tobytes() for x in values], [sketch(x) for x in shingles]]
 
-    return mapped(docs.select("id", "k", "t"), ["t"], "keys array<long>, sketch binary", make)
+    return mapped(docs.select("id", "k", "t"), ["t"], "keys array<long>, values binary, sketch binary", make)
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -200,20 +203,20 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is met depends on that similarity alone, not on the kind of edit or the
     length: a pair at 0.8 is missed with a probability of 5e-8. Sketches sort
     out pairs that cannot be similar, so that only the texts of the others
-    travel. Equal texts are one group before that. Of rows with the same text
+    travel. Of the texts that share a key, any two are tested unless other
+    links have put them in one group. Equal texts are one group before that. Of rows with the same text
     and id one stays; null ids come last. All columns are returned unchanged;
     an empty table gives an empty one.
     """
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("\x00null"))))
     keyed = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("t"))
     thin = pin(_outlines(keyed, size))
-    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    thin = thin.drop("keys", "sketch")
+    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("values").alias("values"), F.first("sketch").alias("sketch")))
+    thin = thin.select("k", "id")
     one = Window.partitionBy("key")
     met = texts.select("k", F.explode("keys").alias("key")).select("key", "k", F.min("k").over(one).alias("head"), F.max("k").over(one).alias("last"))
     met = met.where("head < last").select("key", "k", "head")
-    met = met.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
-    comp = components(_verified(_possible(met, texts, similarity), keyed.select("k", "t"), size, similarity))
+    comp = _groups(pin(met), texts.select("k", "values", "sketch"), keyed.select("k", "t"), size, similarity)
     rooted = texts.join(comp, texts.k == comp.node, "left").select("k", "id", F.coalesce("root", "k").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("h")).select(F.col("h.k").alias("k"), F.col("h.id").alias("id"))
     rows = thin.groupBy("k", "id").agg(F.count("*").alias("n"))
@@ -230,6 +233,66 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.join(small(again), at(again), "left_anti").unionByName(doubled)
 
 
+def _groups(met: DataFrame, texts: DataFrame, full: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(node, root)``: groups by the verified links of texts that share a key, from ``met`` with ``(key, k, head)``.
+
+    Every text is verified against the head of its keys first, which joins
+    most of a large group, then against the likeliest of another group for each
+    key. Of the others any two that share a key and are in different groups
+    still are to be verified: the likeliest of each text first, then more at a
+    time, until every pair left is within a group.
+    """
+    heads = met.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
+    done = pin(_verified(_possible(heads, texts, similarity), full, size, similarity))
+    likely = pin(_apart(met, pin(components(done)), texts, similarity, best=True).select("a", "b"))
+    done = pin(done.unionByName(_verified(likely, full, size, similarity)))
+    comp = pin(components(done))
+    rest, most = pin(_apart(met, comp, texts, similarity)), 1
+    while not rest.isEmpty():
+        best = Window.partitionBy("a").orderBy(F.desc("same"), "b")
+        rest = pin(rest.withColumn("n", F.row_number().over(best)))
+        done = pin(done.unionByName(_verified(rest.where(F.col("n") <= most).select("a", "b"), full, size, similarity)))
+        comp, most = pin(components(done)), most * 16
+        left, right = (comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        rest = rest.where(F.col("n") > most // 16).drop("n").join(left, "a", "left").join(right, "b", "left")
+        rest = pin(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same"))
+    return comp
+
+
+def _apart(met: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float, best: bool = False) -> DataFrame:
+    """``(a, b, same)``: pairs that share a key, are in different groups and may be similar, and the share of MinHash values that is equal.
+
+    Pairs may be similar if that share is at most 0.2 (more than five standard
+    deviations for 0.8) below the similarity; ``best`` returns, of each key's
+    texts outside its largest group, the likeliest pair only. Pairs with a head have been verified. A key's texts are dealt into blocks
+    of about ``BLOCK``, and every two blocks are compared in a task of their own.
+    """
+    one = Window.partitionBy("key")
+    held = met.where("k <> head").join(comp, met.k == comp.node, "left").select("key", "k", F.coalesce("root", "k").alias("root"))
+    held = held.select("*", F.min("root").over(one).alias("lo"), F.max("root").over(one).alias("hi"), F.ceil(F.count("*").over(one) / BLOCK).alias("blocks")).where("lo < hi")
+    held = held.select("key", "k", "root", "blocks", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("mine"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = held.select("key", "k", "root", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(texts.select("k", "values"), "k")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.frombuffer(b"".join(pdf["values"]), np.uint8).reshape(-1, len(_ORDERS))
+        groups, mine, across = pdf.root.factorize()[0], pdf.mine.to_numpy(), pdf.x.iat[0] != pdf.y.iat[0]
+        largest = groups == np.bincount(groups).argmax()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(~largest):
+            js = np.flatnonzero((groups != groups[i]) & (largest | (np.arange(len(groups)) > i)) & (mine != mine[i] if across else True))
+            same = (values[js] == values[i]).mean(1, dtype=np.float32)
+            ok = np.flatnonzero(same >= similarity - 0.2)
+            if len(ok):
+                ok = ok[[same[ok].argmax()]] if best else ok
+                found.append((np.full(len(ok), i, np.int32), js[ok].astype(np.int32), same[ok]))
+        a, b, same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+        return pd.DataFrame({"a": pdf.k.to_numpy()[np.asarray(a, int)], "b": pdf.k.to_numpy()[np.asarray(b, int)], "same": np.asarray(same, float)})
+
+    pairs = held.groupBy("key", "x", "y").applyInPandas(run, "a binary, b binary, same double")
+    return pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
+
+
 def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sketches leave the similarity possible."""
     left, right = (texts.select(F.col("k").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -161,3 +162,36 @@ def test_block_edits_and_short_texts_are_met(spark):
     rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
     got = simhash.drop_near_dups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 2 * len(pairs), 2))
+
+
+def closure(texts):
+    """Smallest id of each text's group, by brute force."""
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = {i: set(simhash.hashed_shingles(simhash.words_of(t), 5).tolist()) for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in texts}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 20])
+def test_large_groups_are_closed(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, rows = random.Random(11), []
+    for changed in (3, 4, 5):  # words of 200: most copies are near their base alone
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for n in range(121):
+            at = rng.sample(range(200), changed) if n else []
+            rows.append(" ".join(f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)))
+    rng.shuffle(rows)
+    texts = dict(enumerate(rows))
+    got = simhash.drop_near_dups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == closure(texts)
