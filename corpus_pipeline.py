@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are boilerplate on their source; ``n_chars`` follows the text."""
-    kept = linededup.dedup_lines(docs)
+    """Drops lines that are boilerplate on their source, where equal texts count as one page; ``n_chars`` follows the text."""
+    kept = linededup.dedup_lines(docs, copies_once=True)
     return kept.select(*((F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns))
 
 

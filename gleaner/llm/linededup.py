@@ -23,30 +23,35 @@ def _digest(line: F.Column) -> F.Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, min_pages: int = 5, copies_once: bool = False) -> DataFrame:
     """``(host, line, pages, host_pages)``: digests of lines on more than ``ratio`` of a host's pages, and on ``min_pages`` at least.
 
     A line counts once for each page. Blank lines and pages without a host
     don't count; a page without a text counts to its host's total.
+    With ``copies_once`` pages of a host with equal texts count as one, in its
+    total too; otherwise every row is a page.
     """
-    src = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).where("host is not null")
-    totals = src.groupBy("host").agg(F.count("*").alias("host_pages"))
-    filled = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    lines = src.select("host", F.explode(F.array_distinct(F.transform(filled, _digest))).alias("line"))
+    filled = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x) != "")
+    digests = F.array_distinct(F.transform(filled, _digest))
+    src = docs.select(F.col(host_col).alias("host"), digests.alias("lines"), _digest(F.coalesce(F.col(text_col), F.lit("\x00null"))).alias("page")).where("host is not null")
+    pages = src.groupBy("host", "page").agg(F.first("lines").alias("lines")) if copies_once else src
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    lines = pages.select("host", F.explode("lines").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
-def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, min_pages: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, min_pages: int = 5, copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines dropped from ``text_col``, and ``lines_kept`` and ``lines_dropped`` (blank lines count as kept).
 
     Every row stays: a text may become empty, a null text stays null with no
     lines, and rows with a null host are left alone. Of a host only
     ``1 / ratio`` times its mean number of lines can be boilerplate, which
     bounds what is gathered for it. Columns already named like the two counts
-    are replaced.
+    are replaced. Without ``copies_once`` (see ``boilerplate``) a text that
+    makes over ``ratio`` of its host's rows is boilerplate as a whole.
     """
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once)
     found = pin(found.groupBy("host").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("host", "__host"))
     small = (found.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= BROADCAST_LINES
     docs = docs.drop("lines_kept", "lines_dropped")

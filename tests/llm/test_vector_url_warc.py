@@ -266,6 +266,19 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == third
 
 
+def test_copies_are_not_boilerplate_in_the_pipeline(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pages = [f"Menu of the site\nfirst{i} line{i} of{i} page{i} here{i}\nsecond{i} line{i} of{i} it{i} there{i}" for i in range(35)]
+    one, two = "a hot text of two lines\nand its other words follow", "another text that is copied\nand has its own words too"
+    rows = [(i, t, "en", "s") for i, t in enumerate([*pages, *[one] * 20, *[two] * 5])]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns)
+    clean = cp.line_dedup(spark, df, sf)
+    assert {r.doc_id: r.text for r in clean.collect()} == {i: t.removeprefix("Menu of the site\n") for i, t, _, _ in rows}
+    assert {r.doc_id for r in cp.near_dedup(spark, clean, sf).collect()} == {*range(35), 35, 55}
+
+
 @pytest.mark.parametrize("name", ["op3_lattice", "op7_warc", "op9_line_dedup"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
