@@ -1,7 +1,9 @@
 """License scanning: winnowed template fingerprints, an inverted index, banded alignment.
 
-Templates are split into words; of the hashes of their word triples a winnowed
-choice goes into an inverted index. A document's triples that hit the index
+Templates are split into words; of the hashes of their word triples (pairs in
+short templates) a winnowed choice goes into an inverted index, dense enough
+that a copy in which as many words are changed or missing as the coverage
+allows holds one. A document's triples and pairs that hit the index
 pick candidate templates and the diagonals on which they lie; each is then
 confirmed by aligning the template with the document's words around it within
 a band, which tolerates changed, missing and added words, and reports how much
@@ -38,6 +40,8 @@ TEMPLATES = {
 }
 
 GRAM, WINDOW, MIN_COVERAGE = 3, 3, 0.8
+#: Words that are in most texts; what a text must hold to be looked at is another word if there is one.
+_COMMON = {"a", "an", "and", "as", "at", "be", "by", "for", "if", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "you"}
 _WORD = regex.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -54,22 +58,31 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     return sorted({min(range(i, min(i + window, len(hashes))), key=lambda j: (hashes[j], -j)) for i in range(last)})
 
 
+def unbroken(n: int, min_coverage: float) -> int:
+    """How many words in a row any copy of ``n`` words holds at the least, if ``min_coverage`` of them are left."""
+    left = next((m for m in range(n + 1) if m >= min_coverage * n), n)
+    return max(min(n, 1), -(-left // (n - left + 1)))
+
+
 class Index:
     """Templates, their winnowed fingerprints (hash -> template, position), and the words that any candidate must hold."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> None:
         self.words = {name: [w for w, _, _ in words_of(text)] for name, text in templates.items()}
         self.postings: dict[tuple[str, ...], list[tuple[str, int]]] = {}
         for name, words in self.words.items():
-            size = min(GRAM, len(words))
+            run = unbroken(len(words), min_coverage)
+            size = min(GRAM, run)
             grams = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)] if size else []
-            for i in winnow([xxhash.xxh64_intdigest(" ".join(g)) for g in grams]):
+            for i in winnow([xxhash.xxh64_intdigest(" ".join(g)) for g in grams], min(WINDOW, run - size + 1)):
                 self.postings.setdefault(grams[i], []).append((name, i))
+        #: Templates that a whole copy of the other template also matches.
+        self.alike = {(x, y) for x, a in self.words.items() for y, b in self.words.items() if x != y and a and min_coverage * len(a) <= align(a, b, 0, max(len(a), len(b)))[0]}
         self.sizes = sorted({len(g) for g in self.postings})
         self.vocabulary = {w for g in self.postings for w in g}
         self.anchors = ahocorasick.Automaton()
-        for gram in self.postings:  # a candidate holds all words of a fingerprint, so the longest of them too
-            self.anchors.add_word(max(gram, key=lambda w: (len(w), w)), True)
+        for gram in self.postings:  # a candidate holds all words of a fingerprint, so the longest uncommon one too
+            self.anchors.add_word(max(gram, key=lambda w: (w not in _COMMON, len(w), w)), True)
         if len(self.anchors):
             self.anchors.make_automaton()
 
@@ -134,6 +147,7 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
             if first > end:
                 out.append((name, m / len(template), m, len(template), found[first][1], found[last][2]))
                 end = last
+    out = [h for h in out if not any((h[0], x[0]) in index.alike and x[1] > h[1] and x[4] <= h[4] and h[5] <= x[5] for x in out)]
     return sorted(out, key=lambda x: (x[4], x[5], x[0]))
 
 
@@ -143,14 +157,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Whole texts are scanned. Null, empty and wordless texts have no rows; rows
     with a null id and repeated rows are scanned like others. Occurrences of
     one template don't overlap (the earlier, then the better matched, stays);
-    those of different templates may. No templates, no rows.
+    those of different templates may, but where two templates are so alike that
+    a copy of one is an occurrence of the other (CC BY-NC and CC BY-SA), only
+    the better covered is returned. Added words are tolerated as long as a
+    fingerprint is left whole. No templates, no rows.
     """
     chosen = TEMPLATES if templates is None else templates
     held: list[Index] = []
 
     def make(texts: list[str | None]) -> Iterator[tuple[list[int], list]]:
         if not held:
-            held.append(Index(chosen))
+            held.append(Index(chosen, min_coverage))
         found = [(i, *hit) for i, text in enumerate(texts) for hit in scan_text(text, held[0], min_coverage)]
         if found:
             at, *columns = zip(*found, strict=True)

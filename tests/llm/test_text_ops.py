@@ -154,6 +154,23 @@ def test_every_template_is_found_whole_and_damaged():
             assert len(hit) == 1 and hit[0][2] == lcs([w for w, _, _ in words], broken), name
 
 
+def test_every_template_is_found_with_any_word_changed_or_missing():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        words = [w for w, _, _ in licenses.words_of(text)]
+        for i in range(len(words)):
+            for other in (["zzz"], []):
+                page = ["before", "it", *words[:i], *other, *words[i + 1 :], "and", "after"]
+                hit = [h for h in licenses.scan_text(" ".join(page), index) if h[0] == name]
+                assert [h[2] for h in hit] == [lcs(words, page)] == [len(words) - 1], (name, i)
+        lost = set(range(4, len(words), 5))  # evenly: the longest runs are as short as can be
+        page = ["zzz" if i in lost else w for i, w in enumerate(words)]
+        assert [h[2] for h in licenses.scan_text(" ".join(page), index) if h[0] == name] == [lcs(words, page)], name
+    assert [h[0] for h in licenses.scan_text("Distributed under the MIT License", index)] == ["MIT-notice"]
+    assert [h[0] for h in licenses.scan_text("Licensed under CC BY-SA 4.0", index)] == ["CC-BY-SA-4.0-notice"]
+    assert {h[0] for h in licenses.scan_text("Licensed under CC BY-ND 4.0", index)} == {"CC-BY-NC-4.0-notice", "CC-BY-SA-4.0-notice"}
+
+
 def test_two_occurrences_and_none():
     index = licenses.Index(licenses.TEMPLATES)
     text = "Released under the MIT License. " + "filler " * 50 + "RELEASED under the mit license"
