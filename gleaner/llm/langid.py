@@ -151,12 +151,12 @@ class Ppm:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = 3, max_docs: int = MAX_TRAIN_DOCS) -> Ppm:
     """Frozen statistics from rows whose language and text are not null.
 
-    Of a language with more than ``max_docs`` rows a sample of whole texts is
-    taken, by a hash of the text, that has about ``max_docs``, copies once:
+    Of a language with more than ``max_docs`` distinct texts a sample of whole
+    texts is taken, by a hash of the text, that has about ``max_docs``:
     what is counted and gathered is bounded by that, not by the corpus.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    totals = pin(rows.groupBy("lang").count())
+    totals = pin(rows.select("lang", F.xxhash64("text").alias("text")).distinct().groupBy("lang").count())
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("count"))
     few = totals.count() <= MAX_LANGS  # else the join is shuffled; skewed languages are split
     sample = rows.join(F.broadcast(totals) if few else totals, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))

@@ -102,6 +102,14 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
 
 
+def test_a_language_of_copies_is_learned_whole(spark):
+    texts = [f"text number {i} of a few" for i in range(5)]
+    df = spark.createDataFrame([(t, "en") for t in texts for _ in range(40)], "text string, lang string")
+    whole = langid.train(spark.createDataFrame([(t, "en") for t in texts], df.schema))
+    model = langid.train(df, max_docs=5)  # of 200 rows, but 5 texts
+    assert model.langs == ["en"] and (model.lengths(texts) == whole.lengths(texts)).all()
+
+
 # --- line dedup -------------------------------------------------------------
 
 
