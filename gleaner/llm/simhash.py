@@ -6,18 +6,20 @@ fingerprint emits all variants within half the radius, the variants are
 shuffled, and fingerprints that meet at one variant are verified. With radius
 2 a variant is met by at most 65 fingerprints, whatever the size of the corpus.
 
-``drop_near_dups`` keeps one text of each group by Jaccard similarity; its
-candidates share MinHash keys.
+``drop_near_dups`` keeps one text of each group by Jaccard similarity. Texts
+whose fingerprints link are verified; as those are not all similar texts, the
+rest meets by MinHash keys.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,13 +29,12 @@ from .common import components, mapped, small
 
 _ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Slots of a sketch.
-SLOTS = 64
 #: Keys of a text in near-dedup, and MinHash values in a key.
-KEYS, ROWS = 32, 4
-#: Texts of a key that are compared with each other, or with as many others, in a task.
-BLOCK = 4096
-_ORDERS = [(np.uint64(xxhash.xxh64_intdigest(b"xor", i)), np.uint64(xxhash.xxh64_intdigest(b"times", i) | 1)) for i in range(KEYS * ROWS)]
+KEYS, ROWS = 20, 4
+#: Shingles, about, of the texts that are compared with each other in a task; texts that go to every block of a key.
+BLOCK, PIVOTS = 1 << 19, 64
+_CHUNK = 4096
+_XOR, _TIMES = (np.fromiter((xxhash.xxh64_intdigest(what, i) | odd for i in range(KEYS * ROWS)), np.uint64) for what, odd in ((b"xor", 0), (b"times", 1)))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -141,25 +142,6 @@ def hashed_shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(32))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """One-permutation MinHash: of the hashes in each of ``SLOTS`` ranges, a byte of the smallest (0 for none)."""
-    out = np.zeros(SLOTS, np.uint8)
-    slot = (shingles >> np.uint64(58)).astype(np.int64)  # the top 6 bits; the hashes are sorted
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else slot
-    out[slot[first]] = shingles[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
-
-
-def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether rows of sketches leave a Jaccard similarity possible; texts with too few shingles to tell always do.
-
-    With 64 slots, 0.25 below the similarity is five standard deviations for 0.8.
-    """
-    used = ((a > 0) | (b > 0)).sum(1)
-    same = ((a == b) & (a > 0)).sum(1)
-    return ((a > 0).sum(1) < 48) | ((b > 0).sum(1) < 48) | (same >= (similarity - 0.25) * used)
-
-
 def jaccard(a: str | None, b: str | None, size: int = 5) -> float:
     """Similarity of the sets of ``size``-word shingles; 1.0 if neither text has a word."""
     x, y = (hashed_shingles(words_of(t), size) for t in (a, b))
@@ -168,10 +150,11 @@ def jaccard(a: str | None, b: str | None, size: int = 5) -> float:
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """``KEYS * ROWS`` smallest values of the shingles' hashes, each in another order; zeros if there are none."""
-    if not len(shingles):
-        return np.zeros(len(_ORDERS), np.uint64)
-    return np.fromiter((((shingles ^ x) * m).min() for x, m in _ORDERS), np.uint64, len(_ORDERS))
+    """``KEYS * ROWS`` smallest values of the shingles' hashes, each in another order."""
+    least = np.full(len(_XOR), np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), _CHUNK):
+        least = np.minimum(least, ((shingles[None, i : i + _CHUNK] ^ _XOR[:, None]) * _TIMES[:, None]).min(1))
+    return least
 
 
 def keys_of(values: np.ndarray) -> list[int]:
@@ -184,40 +167,44 @@ def keys_of(values: np.ndarray) -> list[int]:
 
 
 def _outlines(docs: DataFrame, size: int) -> DataFrame:
-    """``(id, k, keys, values, sketch)`` of ``(id, k, t)``: the keys that find near copies, a byte of each MinHash value, and a sketch of shingles."""
+    """``(id, k, n, fp, keys)`` of ``(id, k, t)``: how many shingles, their SimHash fingerprint, and MinHash keys; no fingerprint or key without words."""
 
     def make(texts: list[str | None]) -> Iterator[tuple[range, list]]:
-        shingles = [hashed_shingles(words_of(t), size) for t in texts]
-        values = [minhashes(x) for x in shingles]
-        yield range(len(texts)), [[keys_of(x) for x in values], [(x >> np.uint64(32)).astype(np.uint8).tobytes() for x in values], [sketch(x) for x in shingles]]
+        made: dict[str | None, tuple] = {}
+        for t in texts:
+            if t not in made:
+                x = hashed_shingles(words_of(t), size)
+                made[t] = (len(x), _signed(_signs(x, None)), keys_of(minhashes(x))) if len(x) else (0, None, [])
+        yield range(len(texts)), [list(c) for c in zip(*(made[t] for t in texts), strict=True)]
 
-    return mapped(docs.select("id", "k", "t"), ["t"], "keys array<long>, values binary, sketch binary", make)
+    return mapped(docs.select("id", "k", "t"), ["t"], "n long, fp long, keys array<long>", make)
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
-    Pairs count if their ``size``-word shingles have a Jaccard similarity of at
-    least ``similarity``, and texts without words are alike. Candidates share
-    one of ``KEYS`` keys of ``ROWS`` MinHash values over the shingles, so what
-    is met depends on that similarity alone, not on the kind of edit or the
-    length: a pair at 0.8 is missed with a probability of 5e-8. Sketches sort
-    out pairs that cannot be similar, so that only the texts of the others
-    travel. Of the texts that share a key, any two are tested unless other
-    links have put them in one group. Equal texts are one group before that. Of rows with the same text
+    Texts link if their ``size``-word shingles have a Jaccard similarity of at
+    least ``similarity``; groups are what links connect, and texts without
+    words are alike. Texts meet first in components of SimHash fingerprints
+    over those shingles, found by ball hashing. That finds all but identical
+    texts and not, for certain, others at 0.8; so texts of different groups meet
+    again where they share one of ``KEYS`` keys of ``ROWS`` MinHash values.
+    Then what is met depends on that similarity alone, not on the kind of edit
+    or the length: a pair at 0.8 is missed with a probability of 3e-5.
+    Similarities are exact. Any two texts that share a key are compared unless
+    other links connect them. Equal texts are one group before that. Of rows with the same text
     and id one stays; null ids come last. All columns are returned unchanged;
     an empty table gives an empty one.
     """
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("\x00null"))))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key = F.when(worded, F.unhex(F.md5(text_col))).otherwise(F.lit(b""))
     keyed = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("t"))
     thin = pin(_outlines(keyed, size))
-    texts = pin(thin.groupBy("k").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("values").alias("values"), F.first("sketch").alias("sketch")))
+    texts = thin.groupBy("k").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")))
+    texts = pin(texts.withColumn("node", F.monotonically_increasing_id()))
     thin = thin.select("k", "id")
-    one = Window.partitionBy("key")
-    met = texts.select("k", F.explode("keys").alias("key")).select("key", "k", F.min("k").over(one).alias("head"), F.max("k").over(one).alias("last"))
-    met = met.where("head < last").select("key", "k", "head")
-    comp = _groups(pin(met), texts.select("k", "values", "sketch"), keyed.select("k", "t"), size, similarity)
-    rooted = texts.join(comp, texts.k == comp.node, "left").select("k", "id", F.coalesce("root", "k").alias("root"))
+    comp = _groups(texts, keyed, size, similarity)
+    rooted = texts.select("k", "id", "node").join(comp, "node", "left").select("k", "id", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("h")).select(F.col("h.k").alias("k"), F.col("h.id").alias("id"))
     rows = thin.groupBy("k", "id").agg(F.count("*").alias("n"))
     same = lambda x, y: (x.k == y.k) & x.id.eqNullSafe(y.id)
@@ -233,87 +220,124 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.join(small(again), at(again), "left_anti").unionByName(doubled)
 
 
-def _groups(met: DataFrame, texts: DataFrame, full: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``(node, root)``: groups by the verified links of texts that share a key, from ``met`` with ``(key, k, head)``.
+def _groups(texts: DataFrame, full: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of the texts that have a link, from ``(node, k, id, n, fp, keys)`` and the rows ``(k, id, t)``.
 
-    Every text is verified against the head of its keys first, which joins
-    most of a large group, then against the likeliest of another group for each
-    key. Of the others any two that share a key and are in different groups
-    still are to be verified: the likeliest of each text first, then more at a
-    time, until every pair left is within a group.
+    Only texts that share a key with another are read again for their shingles.
+    Of keys that are split into blocks, first each block and some pivots are
+    compared, then what is not yet in the key's largest group with all the rest.
+    """
+    balls = texts.where("fp is not null").select("node", "n", "fp")
+    near = components(links(balls.select("fp").distinct()))
+    balls = balls.join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("key"))
+    rounds = [_met(balls), _met(texts.select("node", "n", F.explode("keys").alias("key")))]
+    shared = texts.join(rounds[0].unionByName(rounds[1]).select("node").distinct(), "node", "left_semi")
+    shared = small(pin(shared.select("node", F.col("k").alias("__k"), F.col("id").alias("__id"))))
+    rows = full.join(shared, (full.k == F.col("__k")) & full.id.eqNullSafe(F.col("__id"))).groupBy("node").agg(F.first("t").alias("t"))
+    shingles = pin(mapped(rows, ["t"], "h binary", lambda ts: [(range(len(ts)), [[hashed_shingles(words_of(t), size).tobytes() for t in ts]])]))
+    done, comp = [], None
+    for met in rounds:
+        done.append(pin(_linked(_apart(met, comp), shingles, similarity)))
+        comp = pin(components(reduce(DataFrame.unionByName, done)))
+    split = pin(_across(_apart(rounds[0].unionByName(rounds[1]).where("blocks > 1"), comp)))
+    if split.isEmpty():
+        return comp
+    return components(reduce(DataFrame.unionByName, [*done, _linked(split, shingles, similarity)]))
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """``(key, node, n, blocks, texts)`` of the texts ``(key, node, n)`` that share a key: into how many blocks it is split, and how many texts have it."""
+    held = keyed.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where("texts > 1")
+    held = small(pin(held.select("key", "texts", F.ceil(F.col("size") / BLOCK).alias("blocks"))))
+    return pin(keyed.join(held, "key"))
+
+
+def _apart(met: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``met`` with each text's ``root``, and ``x``, ``y`` to compare in; only of keys whose texts are in different groups.
+
+    A key's texts are dealt into its blocks by hash; about ``PIVOTS`` of them go to every block.
     """
-    heads = met.where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")).distinct()
-    done = pin(_verified(_possible(heads, texts, similarity), full, size, similarity))
-    likely = pin(_apart(met, pin(components(done)), texts, similarity, best=True).select("a", "b"))
-    done = pin(done.unionByName(_verified(likely, full, size, similarity)))
-    comp = pin(components(done))
-    rest, most = pin(_apart(met, comp, texts, similarity)), 1
-    while not rest.isEmpty():
-        best = Window.partitionBy("a").orderBy(F.desc("same"), "b")
-        rest = pin(rest.withColumn("n", F.row_number().over(best)))
-        done = pin(done.unionByName(_verified(rest.where(F.col("n") <= most).select("a", "b"), full, size, similarity)))
-        comp, most = pin(components(done)), most * 16
-        left, right = (comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        rest = rest.where(F.col("n") > most // 16).drop("n").join(left, "a", "left").join(right, "b", "left")
-        rest = pin(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "same"))
-    return comp
-
-
-def _apart(met: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float, best: bool = False) -> DataFrame:
-    """``(a, b, same)``: pairs that share a key, are in different groups and may be similar, and the share of MinHash values that is equal.
-
-    Pairs may be similar if that share is at most 0.2 (more than five standard
-    deviations for 0.8) below the similarity; ``best`` returns, of each key's
-    texts outside its largest group, the likeliest pair only. Pairs with a head have been verified. A key's texts are dealt into blocks
-    of about ``BLOCK``, and every two blocks are compared in a task of their own.
+    met = met.withColumn("y", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("x", F.lit(-1).cast("long"))
+    if comp is None:
+        return met.withColumn("root", F.col("node"))
+    met = met.join(small(comp), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    live = pin(met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
+    return met.join(small(live), "key", "left_semi")
+
+
+def _across(met: DataFrame) -> DataFrame:
+    """Rows to compare every text outside its key's largest group with every other text of the key, in pairs of blocks ``(x, y)``."""
+    sizes = met.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("s").alias("s"), F.max(F.struct("c", "root", "s")).alias("t"))
+    most = pin(most.select("key", F.col("m.root").alias("main"), F.ceil((F.col("s") - F.col("t.s")) / BLOCK).alias("outer")))
+    met = met.join(small(most), "key").withColumn("out", F.col("root") != F.col("main"))
+    every = met.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)))
+    mine = met.where("out").withColumn("x", F.pmod(F.xxhash64("node"), F.col("outer"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return every.unionByName(mine).drop("main", "outer", "out")
+
+
+def _linked(met: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: verified links that connect what can be connected within each ``(key, x, y)`` of ``met``."""
+    pivot = (F.col("x") < 0) & (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("texts")) < PIVOTS)
+    met = met.withColumn("y", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("y"))))
+    dealt = met.select("key", "x", "y", "node", "root").join(shingles, "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        held: list[pa.RecordBatch] = []
+
+        def close() -> None:
+            node, root = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("node", "root"))
+            if (root != root[0]).any():
+                found.extend(forest(node, root, [np.frombuffer(v, np.uint64) for b in held for v in b.column("h").to_pylist()], similarity))
+            held.clear()
+
+        for batch in batches:
+            group = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")])
+            edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for s, e in pairwise(edges):
+                if held and e > s and tuple(group[:, s]) != last:
+                    close()
+                if e > s:
+                    held.append(batch.slice(s, e - s))
+                    last = tuple(group[:, s])
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                found.clear()
+        if held:
+            close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def forest(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all of the texts that links can connect, beyond those that share a ``root`` already.
+
+    A text is compared with all others at once, by a count over the postings of
+    its shingles. Texts of the largest group so far need not be, as all others are.
     """
-    one = Window.partitionBy("key")
-    held = met.where("k <> head").join(comp, met.k == comp.node, "left").select("key", "k", F.coalesce("root", "k").alias("root"))
-    held = held.select("*", F.min("root").over(one).alias("lo"), F.max("root").over(one).alias("hi"), F.ceil(F.count("*").over(one) / BLOCK).alias("blocks")).where("lo < hi")
-    held = held.select("key", "k", "root", "blocks", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("mine"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    held = held.select("key", "k", "root", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(texts.select("k", "values"), "k")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.frombuffer(b"".join(pdf["values"]), np.uint8).reshape(-1, len(_ORDERS))
-        groups, mine, across = pdf.root.factorize()[0], pdf.mine.to_numpy(), pdf.x.iat[0] != pdf.y.iat[0]
-        largest = groups == np.bincount(groups).argmax()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(~largest):
-            js = np.flatnonzero((groups != groups[i]) & (largest | (np.arange(len(groups)) > i)) & (mine != mine[i] if across else True))
-            same = (values[js] == values[i]).mean(1, dtype=np.float32)
-            ok = np.flatnonzero(same >= similarity - 0.2)
-            if len(ok):
-                ok = ok[[same[ok].argmax()]] if best else ok
-                found.append((np.full(len(ok), i, np.int32), js[ok].astype(np.int32), same[ok]))
-        a, b, same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-        return pd.DataFrame({"a": pdf.k.to_numpy()[np.asarray(a, int)], "b": pdf.k.to_numpy()[np.asarray(b, int)], "same": np.asarray(same, float)})
-
-    pairs = held.groupBy("key", "x", "y").applyInPandas(run, "a binary, b binary, same double")
-    return pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
-
-
-def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches leave the similarity possible."""
-    left, right = (texts.select(F.col("k").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, SLOTS) for c in ("sa", "sb"))
-            yield pdf.loc[may_be_similar(a, b, similarity), ["a", "b"]]
-
-    return pin(pairs.join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs of text keys whose texts are similar enough."""
-    ends = pin(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
-    full = texts.join(small(ends), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
-    left, right = (full.select(F.col("k").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [jaccard(x, y, size) >= similarity for x, y in zip(pdf.ta, pdf.tb, strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
-
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(int(node[0]), int(node[1]))] if both / (sizes.sum() - both) >= similarity else []
+    term = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(term, kind="stable")]
+    ends = np.cumsum(np.bincount(term))
+    counts = np.diff(ends, prepend=0)
+    starts = np.cumsum(sizes) - sizes
+    group = np.unique(root, return_inverse=True)[1]
+    seen, out = np.zeros(len(sets), bool), []
+    while len(rest := np.flatnonzero(~seen & (group != np.bincount(group).argmax()))):
+        i = rest[0]
+        seen[i] = True
+        mine = term[starts[i] : starts[i] + sizes[i]]
+        n = counts[mine]
+        postings = owner[np.repeat(ends[mine] - np.cumsum(n), n) + np.arange(n.sum())]
+        both = np.bincount(postings, minlength=len(sets))
+        for j in np.flatnonzero((both / (sizes[i] + sizes - both) >= similarity) & (group != group[i])):
+            if group[i] != group[j]:
+                out.append((int(node[i]), int(node[j])))
+                group[group == group[j]] = group[i]
+    return out

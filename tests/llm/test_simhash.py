@@ -120,24 +120,6 @@ def test_hashed_jaccard_is_that_of_sets():
             assert simhash.jaccard(" ".join(a), " ".join(b)) == want
 
 
-def test_sketches_pass_similar_texts_and_most_others_not():
-    import numpy as np
-
-    rng = random.Random(2)
-    passed = missed = 0
-    for _ in range(60):
-        a = [str(rng.randrange(10**6)) for _ in range(400)]
-        b = [w if rng.random() > 0.02 else "x" for w in a]
-        c = [str(rng.randrange(10**6)) for _ in range(400)]
-        s = [np.frombuffer(simhash.sketch(simhash.hashed_shingles([w.encode() for w in t], 5)), np.uint8)[None] for t in (a, b, c)]
-        if simhash.jaccard(" ".join(a), " ".join(b)) >= 0.8:
-            missed += not simhash.may_be_similar(s[0], s[1], 0.8)[0]
-        passed += simhash.may_be_similar(s[0], s[2], 0.8)[0]
-    assert missed == 0 and passed == 0
-    short = np.frombuffer(simhash.sketch(simhash.hashed_shingles([b"a"], 5)), np.uint8)[None]
-    assert simhash.may_be_similar(short, s[0], 0.8)[0]
-
-
 def edits(rng, n):
     """Pairs of random texts at 0.8 or more, by kind of edit."""
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -182,9 +164,10 @@ def closure(texts):
     return {find(i) for i in texts}
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 20])
-def test_large_groups_are_closed(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize(("block", "pivots"), [(simhash.BLOCK, simhash.PIVOTS), (4000, 3)])
+def test_large_groups_are_closed(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # 4000 shingles: some 20 texts
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     rng, rows = random.Random(11), []
     for changed in (3, 4, 5):  # words of 200: most copies are near their base alone
         base = [f"w{rng.randrange(5000)}" for _ in range(200)]
@@ -195,3 +178,43 @@ def test_large_groups_are_closed(spark, monkeypatch, block):
     texts = dict(enumerate(rows))
     got = simhash.drop_near_dups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == closure(texts)
+
+
+def test_whole_documents_are_closed(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert {r.doc_id for r in simhash.drop_near_dups(docs).collect()} == closure(texts)
+
+
+def test_a_dissimilar_text_of_the_same_words_hides_no_link(spark):
+    rng = random.Random(3)
+    b = [f"w{i}" for i in range(300)]
+    c = [*b]
+    c[150], c[151] = c[151], c[150]
+    a = rng.sample(b, len(b))
+    for rows, kept in (([(1, a), (2, b), (3, c)], [1, 2]), ([(2, b), (3, c)], [2])):
+        got = simhash.drop_near_dups(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"))
+        assert sorted(r.doc_id for r in got.collect()) == kept
+
+
+def test_forest_connects_what_links_connect():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(2, 25))
+        base = rng.choice(1 << 40, 30, replace=False).astype(np.uint64)
+        sets = [np.unique(np.r_[base[rng.random(30) > 0.08], rng.choice(1 << 40, int(rng.integers(1, 4))).astype(np.uint64)]) for _ in range(n)]
+        node, known = np.arange(n) + 100, rng.integers(0, n, n)
+        each = [set(x.tolist()) for x in sets]
+        near = [(i, j) for i in range(n) for j in range(i) if len(each[i] & each[j]) / len(each[i] | each[j]) >= 0.8]
+        same = [(i, j) for i in range(n) for j in range(i) if known[i] == known[j]]
+        found = [(a - 100, b - 100) for a, b in simhash.forest(node, known, sets, 0.8)]
+        assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in near}
+        want, got = ({**dict.fromkeys(range(n))} for _ in range(2))
+        for links, out in ((near + same, want), (found + same, got)):
+            out.update({i: i for i in range(n)})
+            for _ in range(n):
+                for i, j in links:
+                    out[i] = out[j] = min(out[i], out[j])
+        assert got == want and len(found) < n
