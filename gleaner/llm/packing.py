@@ -3,7 +3,9 @@
 Documents are tokenized where they lie; only the lengths of their pieces are
 shuffled. Pieces are dealt by hash to groups of about ``group_pieces``, and each
 group is packed in one pass by an online best-fit packer with a bounded number
-of open bins, so a task's memory does not follow the size of its group.
+of open bins, so a task's memory does not follow the size of its group. Pieces
+arrive in the order of their hash, window after window, and the longest of a
+window first: the bins that one window leaves open are filled by the next.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ class OpenBins:
 
     def __init__(self, capacity: int, most: int) -> None:
         self.capacity, self.most = capacity, most
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
         self.by_space: dict[int, list[int]] = {}
 
     def _take(self, space: int) -> int:
@@ -86,6 +88,7 @@ class OpenBins:
             self.made += 1
             if self.open == self.most and length < self.capacity:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
         left = space - length
         if left:
             self.by_space.setdefault(left, []).append(number)
@@ -135,22 +138,24 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return mapped(docs.select(F.col(id_col), F.col(text_col).alias("__in")), ["__in"], "piece int, start long, length long, ids binary", make)
 
 
-def place(parts: DataFrame, length_col: str = "length", capacity: int = 2048, most_open: int = 65_536, group_pieces: int = 65_536) -> DataFrame:
+def place(parts: DataFrame, length_col: str = "length", capacity: int = 2048, most_open: int = 1024, window_pieces: int = 2048, group_pieces: int = 65_536) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; every row is placed, and rows keep all their columns.
 
-    Groups take ``group_pieces`` rows on average, dealt by a hash of the row,
-    and are fed longest first: with as many open bins as a group has rows, no
-    bin closes early, and short pieces fill what long ones leave. Sequence
+    Windows take ``window_pieces`` rows and groups ``group_pieces`` on average,
+    both dealt by a hash of the row. A group's windows go one after another
+    through ``most_open`` bins, the longest rows of a window first. Sequence
     numbers of different groups differ. An empty table
     gives an empty result; columns already named ``sequence_id`` or ``offset``
     are replaced.
     """
     parts = pin(parts.drop("sequence_id", "offset"))
-    groups = max(1, -(-parts.count() // group_pieces))
+    rows = parts.count()
+    groups, windows = (max(1, -(-rows // n)) for n in (group_pieces, window_pieces))
     names = parts.columns
-    dealt = parts.withColumn("__order", F.xxhash64(*names)).withColumn("__group", F.pmod(F.xxhash64("__order"), F.lit(groups)))
-    dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", F.desc(length_col), "__order")
-    dealt = dealt.withColumn("__length", F.col(length_col)).drop("__order")
+    dealt = parts.withColumn("__order", F.xxhash64(*names)).withColumn("__window", F.pmod(F.xxhash64("__order"), F.lit(windows)))
+    dealt = dealt.withColumn("__group", F.pmod("__window", F.lit(groups)))
+    dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", "__window", F.desc(length_col), "__order")
+    dealt = dealt.withColumn("__length", F.col(length_col)).drop("__order", "__window")
     packer = _Packer(capacity, most_open)
     return mapped(dealt, ["__group", "__length"], "sequence_id long, offset long", packer.take)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import zlib
 
 import numpy as np
@@ -245,7 +246,8 @@ def test_encode_and_decode_frames(spark, library):
 
 
 def check_packing(rows, texts, library, capacity):
-    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    texts = texts if isinstance(texts, dict) else dict(enumerate(texts))
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
     for i, a in ids.items():
         mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
         assert [m[0] for m in mine] == list(range(len(mine))) and sum(m[2] for m in mine) == len(a)
@@ -279,6 +281,38 @@ def test_packing_fixture(spark, library):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_query_packs_what_the_library_encodes(spark, library):
+    from gleaner.llm.queries import op4_packing
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    made, tokens = check_packing(op4_packing(spark, sf).collect(), texts, library, 2048)
+    assert made <= 1.01 * -(-tokens // 2048)
+
+
+def test_the_querys_own_bounds_close_bins_and_pack_well(spark):
+    rng = np.random.default_rng(5)
+    lengths = [int(n) for n in np.minimum(2048, rng.lognormal(6.4, 0.8, 20_000) + 1)]
+    rows = packing.place(spark.createDataFrame(list(enumerate(lengths)), "id long, length long")).orderBy("sequence_id", "offset").collect()
+    assert sorted((r.id, r.length) for r in rows) == list(enumerate(lengths))
+    held = {}
+    for r in rows:
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) <= 2048 and len(held) <= 1.005 * -(-sum(lengths) // 2048)
+    bins = packing.OpenBins(2048, inspect.signature(packing.place).parameters["most_open"].default)
+    window = inspect.signature(packing.place).parameters["window_pieces"].default
+    for i in range(0, len(lengths), window):
+        for n in sorted(lengths[i : i + window], reverse=True):
+            bins.place(n)
+    assert bins.closed > 100
+
+
+def test_long_texts_that_tiktoken_rejects_are_encoded_all_the_same(library):
+    text = "a" + " " * 1_200_000 + "b"
+    assert packing.FastBpe(PATH).encode(text) == ids_of(library, text)
+
+
 def test_repeated_rows_and_null_ids_are_packed(spark):
     df = spark.createDataFrame([(None, "x"), (1, "y"), (1, "y")], "doc_id long, text string")
     assert len(packing.pack(df, PATH).collect()) == 3
