@@ -8,8 +8,8 @@ against all occurrences, without exclusion) and the next shorter context is
 tried, down to all bytes alike. A text's exact code length in each language
 follows, and the language with the shortest is predicted.
 
-Trees are held as hash tables of n-grams with a column for each language, so
-that scoring is a table look-up for each byte, in NumPy.
+Trees are held as hash tables of n-grams with a column for each language of a
+panel, so that scoring is a table look-up for each byte and panel, in NumPy.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ from .common import mapped
 
 #: Whole texts that training takes from each language at most, about; chosen by a hash of the text.
 MAX_TRAIN_DOCS = 1000
+#: And from all languages together, dealt evenly, which bounds the model however many there are.
+MAX_TRAIN_TOTAL = 20_000
+#: Languages that share hash tables; a table has a column for each, so more would mostly hold blanks.
+PANEL = 4
 #: Languages up to this number have their counts broadcast.
-MAX_LANGS = 10_000
+BROADCAST_LANGS = 10_000
 
 
 class Table:
@@ -77,8 +81,8 @@ def grams_of(text: str, order: int) -> np.ndarray:
     return out
 
 
-class Ppm:
-    """Frozen context trees of some languages, from counts of ``order + 1``-byte windows (order 3 at most)."""
+class Panel:
+    """Frozen context trees of a few languages, from counts of ``order + 1``-byte windows."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> None:
         self.langs, self.order = sorted(counts), order
@@ -93,7 +97,7 @@ class Ppm:
                 each.append((keys, np.bincount(at, n).astype(float)))
             keys = np.unique(np.concatenate([x for x, _ in each]))
             contexts = np.unique(keys >> np.uint32(8))
-            cost, esc = np.zeros((len(keys), len(self.langs))), np.zeros((len(contexts), len(self.langs)))
+            cost, esc = (np.zeros((len(x), len(self.langs)), np.float32) for x in (keys, contexts))
             for j, (mine, n) in enumerate(each):
                 ctx, at = np.unique(mine >> np.uint32(8), return_inverse=True)
                 total, kinds = np.bincount(at, n), np.bincount(at)
@@ -101,10 +105,10 @@ class Ppm:
                 esc[rows, j] = -np.log2(kinds / (total + kinds))
                 cost[:, j] = np.nan
                 cost[np.searchsorted(keys, mine), j] = -np.log2(n / (total + kinds)[at])
-            self.escape.append((Table(contexts), esc.astype(np.float32)))
+            self.escape.append((Table(contexts), esc))
             shorter = self._cost(keys & np.uint32(width >> np.uint32(8)), k - 1)
             below = esc[np.searchsorted(contexts, keys >> np.uint32(8))] + shorter
-            self.seen.append((Table(keys), np.where(np.isnan(cost), below, cost).astype(np.float32)))
+            self.seen.append((Table(keys), np.where(np.isnan(cost), below, cost)))
 
     def _cost(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Bits of each window's last byte after its first k bytes, in each language."""
@@ -120,6 +124,18 @@ class Ppm:
             out[miss] = shorter + np.where((ctx >= 0)[:, None], esc[ctx], 0)
         return out
 
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        return self._cost(grams, self.order)
+
+
+class Ppm:
+    """Frozen context trees of any number of languages (order 3 at most), ``PANEL`` languages to a panel."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> None:
+        self.langs, self.order = sorted(counts), order
+        parts = (self.langs[i : i + PANEL] for i in range(0, len(self.langs), PANEL))
+        self.panels = [Panel({x: counts[x] for x in part}, order) for part in parts]
+
     def lengths(self, texts: list[str], chunk: int = 1 << 17) -> np.ndarray:
         """Code lengths in bits: a row for each text, a column for each language."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -128,9 +144,10 @@ class Ppm:
 
         def flush() -> None:
             if held:
-                cost = self._cost(np.concatenate(held), self.order)
-                starts = np.cumsum([0, *map(len, held[:-1])])
-                np.add.at(out, owners, np.add.reduceat(cost, starts, axis=0, dtype=np.float64))
+                grams, starts = np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+                for i, panel in enumerate(self.panels):
+                    sums = np.add.reduceat(panel.costs(grams), starts, axis=0, dtype=np.float64)
+                    np.add.at(out[:, i * PANEL : (i + 1) * PANEL], owners, sums)
                 held.clear()
                 owners.clear()
 
@@ -152,13 +169,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     """Frozen statistics from rows whose language and text are not null.
 
     Of a language with more than ``max_docs`` distinct texts a sample of whole
-    texts is taken, by a hash of the text, that has about ``max_docs``:
-    what is counted and gathered is bounded by that, not by the corpus.
+    texts is taken, by a hash of the text, that has about ``max_docs``; of many
+    languages about ``MAX_TRAIN_TOTAL`` in all, evenly: what is counted,
+    gathered and broadcast is bounded by that, not by the corpus.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     totals = pin(rows.select("lang", F.xxhash64("text").alias("text")).distinct().groupBy("lang").count())
-    share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("count"))
-    few = totals.count() <= MAX_LANGS  # else the join is shuffled; skewed languages are split
+    langs = totals.count()
+    share = F.least(F.lit(1.0), F.lit(float(min(max_docs, MAX_TRAIN_TOTAL / max(1, langs)))) / F.col("count"))
+    few = langs <= BROADCAST_LANGS  # else the join is shuffled; skewed languages are split
     sample = rows.join(F.broadcast(totals) if few else totals, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
     sample = sample.select("lang", "text").distinct()  # or a text that a third of the rows copy would all be in
 

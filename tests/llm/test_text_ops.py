@@ -61,6 +61,7 @@ def brute_bits(text, counts, order):
 @pytest.mark.parametrize("order", [1, 3])
 def test_code_lengths_are_exact(order):
     taught = {"a": ["the cat sat on the mat", "a hat"], "b": ["der hund und die katze", "ein huhn"]}
+    taught |= {x: [f"{x} the {x}hund", x * 5] for x in "cdefg"}  # more than a panel
     counts, plain = {}, {}
     for lang, texts in taught.items():
         grams, n = np.unique(np.concatenate([langid.grams_of(t, order) for t in texts]), return_counts=True)
@@ -73,6 +74,16 @@ def test_code_lengths_are_exact(order):
     assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_a_models_size_follows_its_grams_not_the_square_of_its_languages():
+    rng = np.random.default_rng(2)
+    sizes = []
+    for langs in (10, 40):
+        counts = {f"l{i}": (rng.choice(1 << 32, 5000, replace=False).astype(np.uint32), np.ones(5000)) for i in range(langs)}
+        tables = [x for panel in langid.Ppm(counts, 3).panels for t, cost in (*panel.seen, *panel.escape) for x in (t.rows, t.keys, cost)]
+        sizes.append(sum(x.nbytes for x in tables) / (5000 * langs))
+    assert sizes[1] < 1.2 * sizes[0] < 400
+
+
 def test_hash_table_finds_what_it_holds():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 5000).astype(np.uint32))
     table = langid.Table(keys[::2])
