@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a folder of its own.
+    Only a local session that names none (tests, a laptop) gets a folder of its
+    own; on a cluster such a folder would be each machine's, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return named or held.get()
