@@ -31,6 +31,8 @@ _ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of a text in near-dedup, and MinHash values in a key.
 KEYS, ROWS = 20, 4
+#: Keys whose texts are compared before the others', which then have fewer to tell apart.
+FIRST = 4
 #: Shingles, about, of the texts that are compared with each other in a task; texts that go to every block of a key.
 BLOCK, PIVOTS = 1 << 19, 64
 _CHUNK = 4096
@@ -188,7 +190,8 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words are alike. Texts meet first in components of SimHash fingerprints
     over those shingles, found by ball hashing. That finds all but identical
     texts and not, for certain, others at 0.8; so texts of different groups meet
-    again where they share one of ``KEYS`` keys of ``ROWS`` MinHash values.
+    again where they share one of ``KEYS`` keys of ``ROWS`` MinHash values,
+    ``FIRST`` of them before the others.
     Then what is met depends on that similarity alone, not on the kind of edit
     or the length: a pair at 0.8 is missed with a probability of 3e-5.
     Similarities are exact. Any two texts that share a key are compared unless
@@ -230,8 +233,10 @@ def _groups(texts: DataFrame, full: DataFrame, size: int, similarity: float) ->
     balls = texts.where("fp is not null").select("node", "n", "fp")
     near = components(links(balls.select("fp").distinct()))
     balls = balls.join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("key"))
-    rounds = [_met(balls), _met(texts.select("node", "n", F.explode("keys").alias("key")))]
-    shared = texts.join(rounds[0].unionByName(rounds[1]).select("node").distinct(), "node", "left_semi")
+    some = [texts.select("node", "n", F.explode(F.slice("keys", a + 1, b - a)).alias("key")) for a, b in pairwise((0, FIRST, KEYS))]
+    rounds = [_met(keyed) for keyed in (balls, *some)]
+    every = reduce(DataFrame.unionByName, rounds)
+    shared = texts.join(every.select("node").distinct(), "node", "left_semi")
     shared = small(pin(shared.select("node", F.col("k").alias("__k"), F.col("id").alias("__id"))))
     rows = full.join(shared, (full.k == F.col("__k")) & full.id.eqNullSafe(F.col("__id"))).groupBy("node").agg(F.first("t").alias("t"))
     shingles = pin(mapped(rows, ["t"], "h binary", lambda ts: [(range(len(ts)), [[hashed_shingles(words_of(t), size).tobytes() for t in ts]])]))
@@ -239,7 +244,7 @@ def _groups(texts: DataFrame, full: DataFrame, size: int, similarity: float) ->
     for met in rounds:
         done.append(pin(_linked(_apart(met, comp), shingles, similarity)))
         comp = pin(components(reduce(DataFrame.unionByName, done)))
-    split = pin(_across(_apart(rounds[0].unionByName(rounds[1]).where("blocks > 1"), comp)))
+    split = pin(_across(_apart(every.where("blocks > 1"), comp)))
     if split.isEmpty():
         return comp
     return components(reduce(DataFrame.unionByName, [*done, _linked(split, shingles, similarity)]))
