@@ -7,7 +7,8 @@ allows holds one. A document's triples and pairs that hit the index
 pick candidate templates and the diagonals on which they lie; each is then
 confirmed by aligning the template with the document's words around it within
 a band, which tolerates changed, missing and added words, and reports how much
-of the template was matched and where.
+of the template was matched and where. Words that tell licenses apart (versions,
+names) must be matched, and those of another license must not stand among them.
 """
 
 from __future__ import annotations
@@ -29,20 +30,39 @@ TEMPLATES = {
     "BSD-clause-1": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "BSD-clause-2": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3",
+    "BSD-clause-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0",
+    "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-notice": "Released under the MIT License",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+# Names in which licenses of otherwise like words differ; the second set are the modifiers among them.
+NAMES = {"affero", "apache", "attribution", "bsd", "by-nc", "by-nc-nd", "by-nc-sa", "by-nd", "by-sa", "cc0", "gnu", "isc", "lesser", "mit", "mozilla", "mpl", "attribution-noderivatives", "attribution-noncommercial", "attribution-sharealike"}
+MODIFIERS = {"affero", "attribution-noderivatives", "attribution-noncommercial", "attribution-sharealike", "by-nc", "by-nc-nd", "by-nc-sa", "by-nd", "by-sa", "lesser", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike"}
 
 GRAM, WINDOW, MIN_COVERAGE = 3, 3, 0.8
 #: Words that are in most texts; what a text must hold to be looked at is another word if there is one.
 _COMMON = {"a", "an", "and", "as", "at", "be", "by", "for", "if", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "you"}
 _WORD = regex.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_VERSION = regex.compile(r"v?\d+(?:\.\d+)*")
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -64,11 +84,17 @@ def unbroken(n: int, min_coverage: float) -> int:
     return max(min(n, 1), -(-left // (n - left + 1)))
 
 
+def telling(words: list[str]) -> dict[int, str]:
+    """The words, by position, that tell a template's license from others: versions and names."""
+    return {i: w for i, w in enumerate(words) if _VERSION.fullmatch(w) or w in NAMES or (w == "by" and i and words[i - 1] == "cc")}
+
+
 class Index:
     """Templates, their winnowed fingerprints (hash -> template, position), and the words that any candidate must hold."""
 
     def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> None:
         self.words = {name: [w for w, _, _ in words_of(text)] for name, text in templates.items()}
+        self.marks = {name: telling(words) for name, words in self.words.items()}
         self.postings: dict[tuple[str, ...], list[tuple[str, int]]] = {}
         for name, words in self.words.items():
             run = unbroken(len(words), min_coverage)
@@ -97,28 +123,38 @@ class Index:
         return out
 
 
-def align(template: list[str], words: list[str], start: int, band: int) -> tuple[int, int, int]:
-    """Most template words matched in order, and the first and last document word matched.
+def align(template: list[str], words: list[str], start: int, band: int, marks: dict[int, str] | None = None) -> tuple[int, int, int, set[str]]:
+    """How many template words are matched in order, the first and last document word matched, and which ``marks`` are.
 
     ``start`` is the diagonal; document words at most ``band`` off it are
-    compared. Gaps cost nothing: the longest common subsequence in the band,
-    and of those the one whose matches end first and start last.
+    compared. Gaps cost nothing: of the common subsequences in the band that
+    hold most marks the longest, and of those the one whose matches end first
+    and start last.
     """
-    width = 2 * band + 1
-    best = [(0, 0, 0)] * (width + 1)  # (matches, first word, -last word): tuples compare as wanted
+    width, marks = 2 * band + 1, marks or {}
+    names = sorted(set(marks.values()))
+    bit = {i: 1 << names.index(w) for i, w in marks.items()}
+    best = [(0, 0, 0, 0, 0)] * (width + 1)  # (marks, matches, first word, -last word, which marks): tuples compare as wanted
     for i, word in enumerate(template):
-        row = [(0, 0, 0)] * (width + 1)
-        left = (0, 0, 0)
+        row = [(0, 0, 0, 0, 0)] * (width + 1)
+        left = (0, 0, 0, 0, 0)
         for c in range(width):
             j = start + i + c - band
             cell = max(left, best[c + 1])  # a document word or a template word left out
             if 0 <= j < len(words) and words[j] == word:
-                m, first, _ = best[c]
-                cell = max(cell, (m + 1, first if m else j, -j))
+                k, m, first, _, held = best[c]
+                cell = max(cell, (k + (i in bit), m + 1, first if m else j, -j, held | bit.get(i, 0)))
             row[c] = left = cell
         best = row
-    m, first, last = max(best)
-    return m, first, -last
+    _, m, first, last, held = max(best)
+    return m, first, -last, {w for i, w in enumerate(names) if held >> i & 1}
+
+
+def fits(found: tuple[int, int, int, set[str]], template: list[str], marks: dict[int, str], words: list[str], min_coverage: float) -> bool:
+    """Whether an alignment is an occurrence: covered enough, every telling word matched, no other license's modifier in between."""
+    m, first, last, held = found
+    foreign = MODIFIERS.difference(template)
+    return bool(m) and m >= min_coverage * len(template) and held == set(marks.values()) and foreign.isdisjoint(words[first : last + 1])
 
 
 def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, float, int, int, int, int]]:
@@ -129,7 +165,7 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
     words = [w for w, _, _ in found]
     out = []
     for name, diagonals in sorted(index.candidates(words).items()):
-        template = index.words[name]
+        template, marks = index.words[name], index.marks[name]
         band = max(2, len(template) // 8)
         groups: list[list[int]] = []
         for d in sorted(set(diagonals)):
@@ -139,15 +175,16 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
                 groups.append([d])
         spans: dict[tuple[int, int], tuple[int, int, int]] = {}
         for g in groups:
-            m, first, last = align(template, words, g[len(g) // 2], band)
-            if m and m >= min_coverage * len(template):
-                spans[first, last] = (m, first, last)
+            got = align(template, words, g[len(g) // 2], band, marks)
+            if fits(got, template, marks, words, min_coverage):
+                spans[got[1:3]] = got[:3]
         end = -1
         for m, first, last in sorted(spans.values(), key=lambda s: (s[1], -s[0])):
             if first > end:
                 out.append((name, m / len(template), m, len(template), found[first][1], found[last][2]))
                 end = last
-    out = [h for h in out if not any((h[0], x[0]) in index.alike and x[1] > h[1] and x[4] <= h[4] and h[5] <= x[5] for x in out)]
+    beaten = lambda h, x: (h[0], x[0]) in index.alike and (x[2], x[1]) > (h[2], h[1]) and x[4] < h[5] and h[4] < x[5]
+    out = [h for h in out if not any(beaten(h, x) for x in out)]
     return sorted(out, key=lambda x: (x[4], x[5], x[0]))
 
 
@@ -158,8 +195,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     with a null id and repeated rows are scanned like others. Occurrences of
     one template don't overlap (the earlier, then the better matched, stays);
     those of different templates may, but where two templates are so alike that
-    a copy of one is an occurrence of the other (CC BY-NC and CC BY-SA), only
-    the better covered is returned. Added words are tolerated as long as a
+    a copy of one holds the other (a header and the notice it starts with), only
+    the one with more words matched is returned. Versions and names must be
+    matched (each once at least), and no other license's modifier (NC, Lesser)
+    may stand in the span: what is like a license but not it has no row.
+    Added words are tolerated as long as a
     fingerprint is left whole. No templates, no rows.
     """
     chosen = TEMPLATES if templates is None else templates
