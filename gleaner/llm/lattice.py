@@ -8,8 +8,9 @@ side of a cell's border meet in a cell between them, as both probe.
 
 Equal vectors with equal labels are one class throughout; a cell with many
 classes is split into blocks, and every pair of blocks is a group of bounded
-size with a task to itself. A pair that meets in several cells is returned in
-the smallest of its common keys alone, so nothing has to be deduplicated.
+size with a task to itself. A pair that meets in several cells counts in the
+smallest of its common keys alone, so groups return numbers of links, which
+add up, and what connects their classes, but no pairs.
 """
 
 from __future__ import annotations
@@ -118,15 +119,15 @@ def _hashed(vectors: DataFrame, how: dict) -> DataFrame:
     return mapped(vectors, ["salt", "bare", "v"], "salt long, vec binary, keys array<long>", make)
 
 
-def _pairs_in(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
-    """Verified pairs of a group's classes whose smallest common key is the group's."""
+def _links_in(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
+    """Of a group's pairs whose smallest common key is the group's: how many vectors each class links with, and the least class it is connected with."""
     key, i, j = group[["key", "i", "j"]].iloc[0]
-    found = []
+    found = [pd.DataFrame({"cid": [], "more": [], "least": []}, dtype=np.int64)]
     for _, same in group.groupby("size_of", sort=False) if group["size_of"].nunique() > 1 else [(0, group)]:
         unit = np.frombuffer(b"".join(same["vec"]), kind).astype(np.float64).reshape(len(same), -1)
         unit = unit / np.abs(unit).max(1, keepdims=True)
         unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-        cid, salt, block = (same[c].to_numpy() for c in ("cid", "salt", "block"))
+        cid, salt, block, n = (same[c].to_numpy() for c in ("cid", "salt", "block", "n"))
         left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(same)),) * 2
         a, b = np.nonzero(unit[left] @ unit[right].T >= threshold)
         a, b = left[a], right[b]
@@ -135,28 +136,41 @@ def _pairs_in(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
         if not len(a):
             continue
         keys = np.stack(same["keys"].to_list())
+        first = np.zeros(len(a), bool)
         for s in range(0, len(a), 4096):
             x, y = keys[a[s : s + 4096]], keys[b[s : s + 4096]]
             common = (x[:, :, None] == y[:, None, :]).any(2)
-            first = np.where(common, x, np.iinfo(np.int64).max).min(1) == key
-            found.append(np.stack([cid[a[s : s + 4096]][first], cid[b[s : s + 4096]][first]], axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+            first[s : s + 4096] = np.where(common, x, np.iinfo(np.int64).max).min(1) == key
+        a, b = a[first], b[first]
+        more, least, before = np.zeros(len(same), np.int64), cid.copy(), None
+        np.add.at(more, a, n[b])
+        np.add.at(more, b, n[a])
+        while before is None or (least != before).any():
+            before = least.copy()
+            np.minimum.at(least, a, before[b])
+            np.minimum.at(least, b, before[a])
+        rows = np.flatnonzero(more)
+        found.append(pd.DataFrame({"cid": cid[rows], "more": more[rows], "least": least[rows]}))
+    return pd.concat(found)
 
 
 def class_links(classes: DataFrame, threshold: float, kind: str = "f8", block_rows: int = 512) -> DataFrame:
-    """``(a, b)``, a < b, of classes ``(cid, salt, vec, keys)`` with a cosine of ``threshold`` at least; every pair once.
+    """``(cid, more, least)`` of classes ``(cid, salt, vec, keys, n)`` that have a cosine of ``threshold`` at least with another.
 
+    A class has a row for each group in which it has links: how many vectors
+    they lead to (every pair of classes counts in one group, so the sums are
+    exact), and the least class of the group that they connect it with. No
+    pairs are returned, so that rows do not grow with the square of a group.
     Only the cells that have to be split are counted out to the rows, so
     vectors are shuffled once, to the group they are compared in.
     """
-    rows = classes.select("cid", "salt", "vec", "keys", F.explode(F.array_distinct("keys")).alias("key"))
-    large = classes.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    large = small(pin(large.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))))
+    rows = classes.select("cid", "salt", "vec", "keys", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    large = classes.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > block_rows)
+    large = small(pin(large.select("key", F.ceil(F.col("held") / block_rows).cast("int").alias("blocks"))))
     met = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a row of block b goes to the pairs of blocks (i, j), i <= j, that b is one of
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "salt", "vec", "keys", F.octet_length("vec").alias("size_of"))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "salt", "vec", "keys", "n", F.octet_length("vec").alias("size_of"))
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,14 +180,14 @@ def class_links(classes: DataFrame, threshold: float, kind: str = "f8", block_ro
             k = pdf[["key", "i", "j"]].to_numpy()
             edges = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
             starts = [0, *edges.tolist()]
-            out = [_pairs_in(pdf.iloc[s:e], threshold, kind) for s, e in zip(starts, starts[1:], strict=False) if e - s > 1]
+            out = [_links_in(pdf.iloc[s:e], threshold, kind) for s, e in zip(starts, starts[1:], strict=False) if e - s > 1]
             rest = pdf.iloc[starts[-1] :]
             if out:
                 yield pd.concat(out)
         if rest is not None and len(rest) > 1:
-            yield _pairs_in(rest, threshold, kind)
+            yield _links_in(rest, threshold, kind)
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(run, "cid long, more long, least long")
 
 
 def near_dups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = 2, probes: int = 8, scale: float = 1.5) -> DataFrame:
@@ -192,11 +206,9 @@ def near_dups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     good = rows.where("vec is not null")
     classes = good.groupBy("salt", "vec").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     classes = pin(classes.withColumn("cid", F.monotonically_increasing_id()))
-    pairs = pin(class_links(classes.select("cid", "salt", "vec", "keys"), threshold, kind))
-    sizes = classes.select("cid", "n")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.sum("n").alias("more"))
-    comp = components(pairs)
+    links = pin(class_links(classes.select("cid", "salt", "vec", "keys", "n"), threshold, kind))
+    degree = links.groupBy(F.col("cid").alias("a")).agg(F.sum("more").alias("more"))
+    comp = components(links, "cid", "least")
     full = classes.join(degree, classes.cid == degree.a, "left").join(comp, F.col("cid") == F.col("node"), "left")
     full = pin(full.select("salt", "vec", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root")))
     named = full.groupBy("root").agg(F.min("first").alias("component_id"))

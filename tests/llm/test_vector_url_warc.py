@@ -111,6 +111,23 @@ def test_lattice_against_brute_force(spark, monkeypatch, block):
     assert lattice.near_dups(df.limit(0)).count() == 0
 
 
+def test_lattice_with_null_ids(spark):
+    v, w = [1.0] * 9, [1.0] * 8 + [-1.0]
+    df = spark.createDataFrame([(None, v, 1), (7, v, 1), (None, w, 2), (None, w, 2), (None, None, 1)], VECS)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.near_dups(df).collect()), key=str)
+    assert got == sorted([(None, 1, 7, None), (7, 1, 7, True), (None, 1, None, None), (None, 1, None, None), (None, 0, None, None)], key=str)
+
+
+def test_lattice_returns_no_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=32)
+    rows = [(i, (base + 0.1 * rng.normal(size=32)).astype(np.float32).tolist(), 1) for i in range(400)]
+    found = lattice._hashed(spark.createDataFrame([(i, 1, False, v) for i, v, _ in rows], "id long, salt long, bare boolean, v array<float>"), {})
+    links = lattice.class_links(found.select(F.col("id").alias("cid"), "salt", "vec", "keys", F.lit(1).cast("long").alias("n")), 0.93, "f4").collect()
+    linked = sum(r.more for r in links) // 2
+    assert linked > 70_000 and len(links) < 400 * 18  # a row for each vector and group at most
+
+
 def test_query_links(spark):
     from gleaner.llm.queries import op3_lattice
 
