@@ -10,14 +10,17 @@ a point that lies beyond the next projected distance is closer than the k-th
 found one with a probability of ``1 - confidence`` at most.
 
 The tree's top is fitted on a bounded sample; its leaves split the corpus, and
-large leaves are split further by hash. A query first searches the leaf it
-falls in, then only the leaves that its stopping test leaves open.
+large leaves are split further by hash, into shards that are a row each. Queries
+near each other travel together, as a row for each shard that the stopping test
+leaves open for some of them: first of the nearest leaf, then of the next few,
+then of all others, with a tighter test each time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,10 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import pin
+from .common import kind_of
 
 #: Rows that the top of the tree is fitted on at most, and its leaves at most: both bound what the driver holds.
 FIT_ROWS, MAX_LEAVES = 8192, 4096
-SHARD_ROWS, BLOCK_QUERIES, BUCKET = 4096, 2048, 64
+SHARD_ROWS, BLOCK_QUERIES, BUCKET = 4096, 1024, 64
+#: Leaves that are searched between one stopping test and the next: the nearest, the next few, the rest.
+ROUNDS = ((0, 1), (1, 4), (4, MAX_LEAVES))
+#: Relative rounding that a matrix product may have against the sum of a vector's products in order.
+_SLACK = 1e-10
 
 
 def chi2_cdf(x: np.ndarray, freedom: int) -> np.ndarray:
@@ -119,6 +127,17 @@ class Search:
             distance = 2 * self.top**2 - 2 * kth * np.where(length > 0, self.top / length, 0)
             return np.isfinite(kth) & (chi2_cdf(bound / np.maximum(distance, 1e-300), self.width) >= self.confidence)
 
+    def scores(self, queries: np.ndarray, cand: np.ndarray, floor: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Inner products of at least ``floor``, else -inf; a matrix product leaves out most of the others."""
+        rough = queries @ self.vectors[cand].T
+        row, col = np.nonzero(rough >= (floor - _SLACK * length * self.top)[:, None])
+        out = np.full(rough.shape, -np.inf)
+        for a in range(0, len(row), 1 << 14):
+            r, c = row[a : a + (1 << 14)], col[a : a + (1 << 14)]
+            # summed in the same order wherever a vector stands, so that equal vectors tie exactly
+            out[r, c] = np.einsum("pd,pd->p", queries[r], self.vectors[cand[c]])
+        return out
+
     def run(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows (of the queries), candidate ids and scores; ``known`` are k-th best inner products from elsewhere."""
         n, k = len(ids), self.k
@@ -131,16 +150,15 @@ class Search:
             at = order[live, step]
             kth = np.maximum(best[live, -1], known[live])
             live_on = ~self.closed(near[live, at], kth, length[live])
-            live, at = live[live_on], at[live_on]
+            live, at, kth = live[live_on], at[live_on], kth[live_on]
             if not len(live):
                 break
             by = at.argsort(kind="stable")
             for rows in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
                 q, cand = live[rows], self.buckets[at[rows[0]]]
-                # einsum sums in the same order wherever a vector stands, so that equal vectors tie exactly
-                score = np.einsum("qd,cd->qc", vectors[q], self.vectors[cand])
+                score = self.scores(vectors[q], cand, kth[rows], length[q])
                 score[ids[q][:, None] == self.ids[cand][None]] = -np.inf
-                some = (score >= best[q, -1:]).any(1) & (score.max(1) > -np.inf)
+                some = score.max(1) > -np.inf
                 q, score = q[some], score[some]
                 if not len(q):
                     continue
@@ -159,7 +177,7 @@ def _valid(v: object) -> np.ndarray | None:
     return x if len(x) and np.isfinite(x).all() and x.any() else None
 
 
-def _vectors(df: DataFrame) -> DataFrame:
+def _vectors(df: DataFrame, kind: str) -> DataFrame:
     """``(id, vec, dim, norm)`` of the rows that take part, repeated rows once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,13 +185,23 @@ def _vectors(df: DataFrame) -> DataFrame:
             made = [_valid(v) for v in pdf.v]
             ok = [x is not None for x in made]
             good = [x for x in made if x is not None]
-            yield pd.DataFrame({"id": pdf.id[ok].to_numpy(np.int64), "vec": [x.tobytes() for x in good], "dim": [len(x) for x in good], "norm": [float(np.sqrt(x @ x)) for x in good]})
+            yield pd.DataFrame({"id": pdf.id[ok].to_numpy(np.int64), "vec": [x.astype(kind).tobytes() for x in good], "dim": [len(x) for x in good], "norm": [float(np.sqrt(x @ x)) for x in good]})
 
     return df.where("id is not null").mapInPandas(run, "id long, vec binary, dim int, norm double").distinct()
 
 
-def _stack(column: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), dim)
+def _stack(column: pd.Series, dim: int, kind: str = "f8") -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).astype(np.float64).reshape(-1, dim)
+
+
+def _packed(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """A row for each group of ``by``, with ``columns`` (name to NumPy kind, or "" for bytes) put together in a blob each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = {c: b"".join(pdf[c]) if not kind else pdf[c].to_numpy(kind).tobytes() for c, kind in columns.items()}
+        return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in by}, **{c: [v] for c, v in made.items()}})
+
+    return df.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} long" for c in by), *(f"{c} binary" for c in columns)]))
 
 
 def search(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", width: int = 8, confidence: float = 0.95, seed: int = 11) -> DataFrame:
@@ -183,97 +211,112 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "ve
     Vectors that are null, empty, zero or not finite, and null ids, take no
     part; rows that repeat an id and a vector count once. Of equal vectors only
     the k + 1 with the smallest ids can be among a query's k nearest, so the
-    others are left out before the search. Vectors of a dimension other than
-    the most frequent one (the larger of two) have no inner product with the
-    rest and are left out.
+    others are left out before the search. Vectors of different dimension have
+    no inner product: each dimension is searched by itself.
     """
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, kind_of(vectors, vector_col)
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
-    rows = pin(_vectors(named.select("id", "v")))
-    shape = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), F.desc("dim")).first()
-    schema = f"query_id long, rank int, `{id_col}` long, score double"
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    dim, top = shape["dim"], shape["top"]
-    frame = np.random.default_rng([seed, dim]).normal(size=(dim + 1, width))
-
-    def project(vec: np.ndarray, norm: np.ndarray, is_query: bool) -> np.ndarray:
-        if is_query:
-            return (vec * (top / norm)[:, None]) @ frame[:dim]
-        return vec @ frame[:dim] + np.sqrt(np.maximum(top**2 - norm**2, 0))[:, None] * frame[dim]
+    rows = pin(_vectors(named.select("id", "v"), kind))
+    wanted = named.where("q").select("id").distinct()
+    parts = []
+    for shape in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy("dim").collect():
+        found = _Dimension(shape["dim"], shape["top"], k, width, confidence, seed, kind).search(rows.where(F.col("dim") == shape["dim"]), wanted, shape["n"])
+        parts.append(found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+
 
-    rows = rows.where(F.col("dim") == dim)
-    first = Window.partitionBy("vec").orderBy("id")
-    cand = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
-    sample = cand.select("vec", "norm", "id").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()
-    leaves = min(MAX_LEAVES, max(1, 1 << max(0, math.ceil(math.log2(max(1, shape["n"]) / SHARD_ROWS)))))
-    tree = Top(project(_stack(sample.vec, dim), sample.norm.to_numpy(), False), leaves)
+class _Dimension:
+    """The search among vectors of one dimension, whose largest length is ``top``."""
 
-    def placed(df: DataFrame, is_query: bool) -> DataFrame:
+    def __init__(self, dim: int, top: float, k: int, width: int, confidence: float, seed: int, kind: str) -> None:
+        self.dim, self.top, self.k, self.width, self.confidence, self.kind = dim, top, k, width, confidence, kind
+        self.frame = np.random.default_rng([seed, dim]).normal(size=(dim + 1, width))
+
+    def project(self, vec: np.ndarray, norm: np.ndarray, is_query: bool) -> np.ndarray:
+        if is_query:
+            return (vec * (self.top / norm)[:, None]) @ self.frame[: self.dim]
+        return vec @ self.frame[: self.dim] + np.sqrt(np.maximum(self.top**2 - norm**2, 0))[:, None] * self.frame[self.dim]
+
+    def placed(self, df: DataFrame, tree: Top, is_query: bool) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    p = project(_stack(pdf.vec, dim), pdf.norm.to_numpy(), is_query)
+                    p = self.project(_stack(pdf.vec, self.dim, self.kind), pdf.norm.to_numpy(), is_query)
                     yield pd.DataFrame({"id": pdf.id, "vec": pdf.vec, "proj": [x.tobytes() for x in p], "leaf": tree.leaf_of(p), "p": list(p)})
 
         return df.select("id", "vec", "norm").mapInPandas(run, "id long, vec binary, proj binary, leaf long, p array<double>")
 
-    cand = pin(placed(cand, False))
-    edge = [f(F.col("p")[d]).alias(f"{name}{d}") for d in range(width) for name, f in (("lo", F.min), ("hi", F.max))]
-    boxes = cand.groupBy("leaf").agg(F.count("*").alias("n"), *edge).orderBy("leaf").toPandas()  # MAX_LEAVES rows at most
-    low, high = (boxes[[f"{x}{d}" for d in range(width)]].to_numpy() for x in ("lo", "hi"))
-    shards = np.maximum(1, -(-boxes["n"].to_numpy() // SHARD_ROWS)).astype(np.int64)
-    leaf_shards = spark.createDataFrame([(int(x), int(s)) for x, s in zip(boxes["leaf"], shards, strict=True)], "leaf long, shards long")
-    cand = cand.drop("p").join(F.broadcast(leaf_shards), "leaf").withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.col("shards"))).drop("shards")
-
-    wanted = named.where("q").select("id").distinct()
-    asked = pin(placed(rows.join(wanted, "id"), True).withColumn("home", F.col("leaf")).drop("p", "leaf"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)))
-    every = Search  # shipped by reference with the module
-
-    def found(part: DataFrame) -> DataFrame:
-        """Searches ``(id, vec, proj, block, kth, leaf, shard)``: a query for each shard that it still has to visit."""
-        groups = part.select(F.col("leaf").alias("at_leaf"), F.col("shard").alias("at_shard"), F.col("block").alias("at_block")).distinct()
-        held = cand.join(groups, (F.col("leaf") == F.col("at_leaf")) & (F.col("shard") == F.col("at_shard")))
-        held = held.select("id", "vec", "proj", "at_leaf", "at_shard", "at_block")
-
-        def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(c):
-                return pd.DataFrame({"query_id": [], "vec": [], "id": [], "score": []})
-            s = every(c.id.to_numpy(), _stack(c.vec, dim), _stack(c.proj, width), top, k, confidence)
-            row, who, score = s.run(q.id.to_numpy(), _stack(q.vec, dim), _stack(q.proj, width), q.kth.to_numpy(float))
-            return pd.DataFrame({"query_id": q.id.to_numpy()[row], "vec": q.vec.to_numpy()[row], "id": who, "score": score})
-
-        both = part.groupBy("leaf", "shard", "block").cogroup(held.groupBy("at_leaf", "at_shard", "at_block"))
-        return both.applyInPandas(run, "query_id long, vec binary, id long, score double")
-
-    nearest = Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "id")
-    here = asked.join(F.broadcast(leaf_shards), asked.home == leaf_shards.leaf).withColumn("kth", F.lit(float("-inf")))
-    here = here.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards", "home")
-    home = pin(found(here).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k).drop("r"))
-    kth = home.groupBy("query_id", "vec").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
-    again = asked.join(kth.withColumnRenamed("query_id", "id"), ["id", "vec"], "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-
-    def open_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = every.__new__(every)
-        test.top, test.width, test.confidence = top, width, confidence
+    def search(self, rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+        """``(query_id, rank, id, score)`` for the rows whose id is in ``wanted``."""
+        spark, k = rows.sparkSession, self.k
+        first = Window.partitionBy("vec").orderBy("id")
+        cand = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
+        sample = cand.select("vec", "norm", "id").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()
+        leaves = min(MAX_LEAVES, max(1, 1 << max(0, math.ceil(math.log2(max(1, n) / SHARD_ROWS)))))
+        tree = Top(self.project(_stack(sample.vec, self.dim, self.kind), sample.norm.to_numpy(), False), leaves)
+        cand = pin(self.placed(cand, tree, False))
+        edge = [f(F.col("p")[d]).alias(f"{name}{d}") for d in range(self.width) for name, f in (("lo", F.min), ("hi", F.max))]
+        boxes = cand.groupBy("leaf").agg(F.count("*").alias("n"), *edge).orderBy("leaf").toPandas()  # MAX_LEAVES rows at most
+        shards = np.maximum(1, -(-boxes["n"].to_numpy() // SHARD_ROWS)).astype(np.int64)
+        split = F.broadcast(spark.createDataFrame([(int(x), int(s)) for x, s in zip(boxes["leaf"], shards, strict=True)], "leaf long, shards long"))
+        cand = cand.join(split, "leaf").withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.col("shards")))
+        held = pin(_packed(cand.select("leaf", "shard", "id", "vec", "proj"), ["leaf", "shard"], {"id": "i8", "vec": "", "proj": ""}))
+
+        asked = pin(self.placed(rows.join(wanted, "id"), tree, True).withColumnRenamed("leaf", "home").drop("p").withColumn("q", F.monotonically_increasing_id()))
+        blocks = asked.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("blocks"))  # MAX_LEAVES rows at most
+        asked = asked.join(F.broadcast(blocks), "home").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("blocks")
+        nearest = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        best, state = None, asked.withColumn("kth", F.lit(float("-inf")))
+        for span in ROUNDS:
+            if span[0] >= len(boxes):
+                break
+            found = self.visit(state, held, boxes, shards, span)
+            found = found if best is None else best.drop("rank").unionByName(found)
+            best = pin(found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
+            kth = best.groupBy("q").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+            state = asked.join(kth, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+        if best is None:
+            return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+        return best.join(asked.select("q", F.col("id").alias("query_id")), "q").select("query_id", "rank", "id", "score")
+
+    def visit(self, state: DataFrame, held: DataFrame, boxes: pd.DataFrame, shards: np.ndarray, span: tuple[int, int]) -> DataFrame:
+        """``(q, id, score)`` from the leaves that are ``span`` in order of distance from a query and that its test leaves open."""
+        low, high = (boxes[[f"{x}{d}" for d in range(self.width)]].to_numpy() for x in ("lo", "hi"))
         names = boxes["leaf"].to_numpy()
-        for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                part = pdf.iloc[a : a + 512]
-                if not len(part):
-                    continue
-                away = box_distance(_stack(part.proj, width), low, high)
-                size = np.sqrt((_stack(part.vec, dim) ** 2).sum(1))
-                shut = test.closed(away, part.kth.to_numpy()[:, None], size[:, None]) | (names[None] == part.home.to_numpy()[:, None])
-                row, col = np.nonzero(~shut)
-                shard = np.concatenate([np.arange(n) for n in shards[col]]) if len(col) else np.zeros(0, np.int64)
-                row, col = row.repeat(shards[col]), col.repeat(shards[col])
-                out = part[["id", "vec", "proj", "block", "kth"]].iloc[row]
-                yield out.assign(leaf=names[col], shard=shard)
-
-    rest = again.select("id", "vec", "proj", "home", "block", "kth").mapInPandas(open_leaves, "id long, vec binary, proj binary, block long, kth double, leaf long, shard long")
-    away = found(pin(rest))
-    ranked = home.unionByName(away).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+        test = Search.__new__(Search)
+        test.top, test.width, test.confidence = self.top, self.width, self.confidence
+
+        def decoded(row: object) -> list[np.ndarray]:
+            q, asked = (np.frombuffer(x, np.int64) for x in (row.q, row.asked))
+            return [q, asked, np.frombuffer(row.qvec, self.kind).reshape(len(q), -1), np.frombuffer(row.qproj).reshape(len(q), -1), np.frombuffer(row.kth)]
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    parts = decoded(row)
+                    _, _, vec, proj, kth = parts
+                    away = box_distance(proj, low, high)
+                    length = np.sqrt((vec.astype(np.float64) ** 2).sum(1))
+                    go = ~test.closed(away, kth[:, None], length[:, None])
+                    rank = away.argsort(1, kind="stable").argsort(1, kind="stable")
+                    go &= (rank >= span[0]) & (rank < span[1])
+                    for j in np.flatnonzero(go.any(0)):
+                        blobs = [x[go[:, j]].tobytes() for x in parts]
+                        yield pd.DataFrame([(names[j], s, *blobs) for s in range(shards[j])], columns=["leaf", "shard", "q", "asked", "qvec", "qproj", "kth"])
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, there = None, None
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    if at != (row.leaf, row.shard):
+                        ids = np.frombuffer(row.id, np.int64)
+                        there = Search(ids, _stack([row.vec], self.dim, self.kind), _stack([row.proj], self.width), self.top, self.k, self.confidence)
+                        at = (row.leaf, row.shard)
+                    q, asked, vec, proj, kth = decoded(row)
+                    i, who, score = there.run(asked, vec.astype(np.float64), proj, kth)
+                    yield pd.DataFrame({"q": q[i], "id": who, "score": score})
+
+        named = state.select("home", "block", "q", F.col("id").alias("asked"), F.col("vec").alias("qvec"), F.col("proj").alias("qproj"), "kth")
+        together = _packed(named, ["home", "block"], {"q": "i8", "asked": "i8", "qvec": "", "qproj": "", "kth": "f8"})
+        routed = together.mapInPandas(route, "leaf long, shard long, q binary, asked binary, qvec binary, qproj binary, kth binary")
+        return routed.join(held, ["leaf", "shard"]).mapInPandas(look, "q long, id long, score double")

@@ -44,6 +44,11 @@ def mapped(df: DataFrame, inputs: list[str], add: str, make: Callable[..., Itera
     return df.select(*keep, *inputs).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new.fields]))
 
 
+def kind_of(vectors: DataFrame, column: str) -> str:
+    """NumPy's name for the vectors' components: floats travel as floats, all else as doubles."""
+    return "f4" if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else "f8"
+
+
 def small(keys: DataFrame, most: int = 500_000) -> DataFrame:
     """A pinned table of keys, to be broadcast if it has ``most`` rows at most (some 30 MB); else the join is shuffled."""
     return F.broadcast(keys) if keys.count() <= most else keys

@@ -22,10 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..lineage import pin
-from .common import components, mapped, small
+from .common import components, kind_of, mapped, small
 
 
 def e8_roots() -> np.ndarray:
@@ -95,14 +94,9 @@ def unit_of(v: object) -> np.ndarray | None:
     return x / top / np.sqrt(((x / top) ** 2).sum()) if top > 0 else None
 
 
-def _kind(vectors: DataFrame, column: str) -> str:
-    """NumPy's name for the vectors' components: floats travel as floats, all else as doubles."""
-    return "f4" if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else "f8"
-
-
 def _hashed(vectors: DataFrame, how: dict) -> DataFrame:
     """``(id, salt, vec, keys)`` of ``(id, salt, bare, v)``: the vector's bytes and keys, both null where it takes no part."""
-    kind = _kind(vectors, "v")
+    kind = kind_of(vectors, "v")
     hashers: dict[int, Hasher] = {}
 
     def make(salts: list[int], bare: list[bool], vectors: list) -> Iterator[tuple[range, list]]:
@@ -201,7 +195,7 @@ def near_dups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     returned, but names no component. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.xxhash64(F.col(label_col).cast("string")).alias("salt"), F.col(label_col).isNull().alias("bare"), F.col(vector_col).alias("v"))
-    kind = _kind(rows, "v")
+    kind = kind_of(rows, "v")
     rows = pin(_hashed(rows, {"tables": tables, "probes": probes, "scale": scale}))
     good = rows.where("vec is not null")
     classes = good.groupBy("salt", "vec").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))

@@ -72,6 +72,30 @@ def test_query_recall(spark):
     assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) >= 0.9 * len(got)
 
 
+def test_each_dimension_is_searched(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=(3, 2, 40)[i % 3]).tolist(), 0) for i in range(90)] + [(91, [1.0], 0), (94, [2.0], 0)]
+    got = nearest(spark.createDataFrame(rows, VECS), 5, confidence=1.0)
+    want = {}
+    for d in (1, 2, 3, 40):
+        want |= brute_nearest([r for r in rows if len(r[1]) == d], 5, lambda i: i % 2 == 0)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_query_recall(spark):
+    from gleaner.llm.queries import op2_nearest
+
+    sf = "/root/testdata/sf0.1"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(vectors.embedding).astype(np.float64), vectors.vec_id.to_numpy()
+    asked = ids % 20 == 0
+    score = x[asked] @ x.T
+    score[np.arange(asked.sum()), np.flatnonzero(asked)] = -np.inf
+    want = {(int(q), int(i)) for q, row in zip(ids[asked], score, strict=True) for i in ids[np.lexsort((ids, -row))[:20]]}
+    got = {(r.query_id, r.vec_id) for r in op2_nearest(spark, sf).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
 def test_chi_square():
     assert abs(ann.chi2_cdf(np.array([15.507]), 8)[0] - 0.95) < 1e-4
     assert abs(ann.chi2_cdf(np.array([2.0]), 2)[0] - (1 - math.exp(-1))) < 1e-12
