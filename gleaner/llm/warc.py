@@ -25,7 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import scratch
+from ..lineage import pin, scratch
+from .common import small
 
 # The magic number of the skippable frame that holds a dictionary, and WARC header names.
 DICT_MAGIC = 0x184D2A5D
@@ -144,11 +145,13 @@ def parse(rec: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
     """``(page_id, url, payload, refers_to)``: refers_to is the largest id with an equal payload of ``min_bytes`` at least, else null.
 
-    Only digests that more than one row has go into the join.
+    Only digests that more than one row has go into the join, and payloads stay
+    where they are while those are few enough to be sent to every executor.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).cast("binary").alias("payload"))
     long = F.octet_length("payload") >= min_bytes
     equal = rows.where(long).groupBy(F.unhex(F.sha2("payload", 256)).alias("digest")).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = small(pin(equal))
     # a short payload's key equals none, and is not the same for all of them
     rows = rows.withColumn("key", F.when(long, F.unhex(F.sha2("payload", 256))).otherwise(F.unhex(F.md5(F.concat_ws("|", F.xxhash64("page_id", "url"))))))
     return rows.join(equal, rows.key == equal.digest, "left").select("page_id", "url", "payload", "refers_to")
