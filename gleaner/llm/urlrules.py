@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import pin
+from .common import small
 
 #: (host, path, verdict)
 RULES = (
@@ -48,40 +49,50 @@ def apply_rules(host: F.Column, path: F.Column, rules: tuple[tuple[str, str, str
 
 
 def tokens_of(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
-    """A URL's tokens, of eight kinds: scheme, top level, site, subdomain, depth, first and second folder, query.
-
-    One token of a kind at most, so a URL has no more than 2^8 combinations,
-    however long it is and however often it repeats. Numbers are one token.
-    """
+    """A URL's tokens: scheme, top level, site, subdomains, depth, every folder by its place, and every key of the query. Numbers are one token."""
     labels = F.split(host, r"\.")
     folders = F.filter(F.split(path, "/"), lambda x: x != "")
     plain = lambda x: F.regexp_replace(x, r"^\d+$", "#")
     kind = lambda name, value: F.concat(F.lit(f"{name}="), value)
+    query = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda x: x != "")
     found = F.array(
         kind("scheme", F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?)://", 1)),
         F.when(host != "", kind("top", F.element_at(labels, -1))),
         F.when(F.size(labels) > 1, kind("site", F.concat_ws(".", F.slice(labels, -2, 2)))),
-        F.when(F.size(labels) > 2, kind("sub", F.element_at(labels, 1))),
-        kind("depth", F.least(F.size(folders), F.lit(9)).cast("string")),
-        F.when(F.size(folders) > 0, kind("folder1", plain(F.get(folders, 0)))),
-        F.when(F.size(folders) > 1, kind("folder2", plain(F.get(folders, 1)))),
-        kind("query", F.coalesce(F.contains(url, F.lit("?")), F.lit(False)).cast("string")),
+        kind("depth", F.size(folders).cast("string")),
     )
-    return F.array_distinct(F.array_compact(found))
+    subs = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: kind("sub", x))
+    places = F.transform(folders, lambda x, i: F.concat(F.lit("folder"), (i + 1).cast("string"), F.lit("="), plain(x)))
+    keys = F.transform(query, lambda x: kind("key", F.regexp_extract(x, r"(?s)^([^=]*)", 1)))
+    return F.array_distinct(F.concat(F.array_compact(found), subs, places, keys))
+
+
+def frequent(labelled: DataFrame, min_support: float) -> list[str]:
+    """Tokens on at least ``min_support`` of the rows; of tokens that stand on the same rows the first in order.
+
+    Tokens that always come together say the same, and their combinations
+    would double with each of them; a URL that is repeated often, however
+    long, is one combination this way. At most ``tokens of a URL /
+    min_support`` tokens come to the driver.
+    """
+    each = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), F.xxhash64("tokens").cast("decimal(20,0)").alias("row"))
+    each = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows")).where(F.col("n") >= min_support * labelled.count())
+    return sorted(r.token for r in each.groupBy("n", "rows").agg(F.min("token").alias("token")).collect())
 
 
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
     """Association rules ``(rule_id, antecedent, verdict, confidence, support)`` from columns ``tokens`` and ``verdict``.
 
     A rule with a more general one of at least its confidence and the same
-    verdict is pruned. Support bounds the rules by ``2^8 / min_support``,
-    whatever the number of rows. No labels, no rules.
+    verdict is pruned. Tokens that stand on the same rows are one (see
+    ``frequent``). No labels, no rules.
     """
     spark = labelled.sparkSession
     schema = "rule_id long, antecedent array<string>, verdict string, confidence double, support double"
     if labelled.isEmpty():
         return spark.createDataFrame([], schema)
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict="), "verdict")).alias("items"))
+    known = F.array_intersect("tokens", F.lit(frequent(labelled, min_support)).cast("array<string>"))
+    items = labelled.select(F.array_append(known, F.concat(F.lit("verdict="), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.col("consequent")[0].startswith("verdict=")).where(F.forall("antecedent", lambda x: ~x.startswith("verdict=")))
     rows = [(frozenset(r.antecedent), r.consequent[0].removeprefix("verdict="), r.confidence, r.support) for r in found.collect()]
@@ -96,7 +107,7 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
 
 
 def _subsets(items: frozenset[str]) -> list[frozenset[str]]:
-    """Its proper subsets; at most 2^8 of them, as tokens are of eight kinds."""
+    """Its proper subsets, which are as many frequent combinations."""
     out = [frozenset()]
     for x in sorted(items):
         out += [s | {x} for s in out]
@@ -110,7 +121,8 @@ def judge(pages: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page
     the association rule of highest confidence (then support, then fewest
     tokens, then first in order), else by ``default``. A null URL or one
     without ``://`` has an empty host and path. Rows repeat as they come.
-    Token sets are matched once each, however many URLs share them.
+    Of the tokens only those that a rule names are looked at, and each set of
+    them is matched once, however many URLs share it.
     """
     url = F.col("__url")
     rows = pages.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(url_col).alias("__url"))
@@ -118,13 +130,16 @@ def judge(pages: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page
     rows = rows.withColumn("hand", apply_rules(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens_of(url, F.col("host"), F.col("path"))).drop("__url")
     mined = mine(rows.where("hand is not null").select("tokens", F.col("hand.verdict").alias("verdict")), min_support, min_confidence)
     index = mined.select(F.explode("antecedent").alias("token"), "rule_id", F.size("antecedent").alias("need"))
-    sets = pin(rows.where("hand is null").select("tokens").distinct())
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # 2^8 / min_support rules at most
+    named = sorted({r.token for r in index.select("token").collect()})
+    rows = rows.withColumn("tokens", F.array_sort(F.array_intersect("tokens", F.lit(named).cast("array<string>"))))
+    sets = pin(rows.where(F.col("hand").isNull() & (F.size("tokens") > 0)).select("tokens").distinct())
+    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # as many rules as frequent combinations
     hits = hits.groupBy("tokens", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
     best = hits.join(F.broadcast(mined), "rule_id").groupBy("tokens").agg(
         F.max_by(F.struct("verdict", "antecedent"), F.struct("confidence", "support", -F.col("need"), -F.col("rule_id"))).alias("best")
     )
-    chosen = rows.join(best.withColumnRenamed("tokens", "t"), (F.col("tokens") == F.col("t")) & F.col("hand").isNull(), "left")
+    best = small(pin(best.withColumnRenamed("tokens", "t")), 50_000)
+    chosen = rows.join(best, (F.col("tokens") == F.col("t")) & F.col("hand").isNull(), "left")
     return chosen.select(
         *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "host", "path", F.col("hand.rule").alias("rule"),
         F.coalesce("hand.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.antecedent").alias("mined"),

@@ -235,6 +235,61 @@ def test_mined_verdicts_and_hot_urls(spark):
     assert urlrules.judge(spark.createDataFrame(rows, "page_id long, url string").limit(0)).count() == 0
 
 
+def brute_tokens(url):
+    url = url or ""
+    scheme, sep, rest = url.partition("://")
+    cut = min([len(rest), *(i for c in "/?#" if (i := rest.find(c)) >= 0)]) if sep else 0
+    host = rest[:cut].lower() if sep else ""
+    path = rest[cut:].partition("#")[0].partition("?")[0] if sep else ""
+    query = url.partition("#")[0].partition("?")[2]
+    folders = [x for x in path.split("/") if x]
+    labels = host.split(".")
+    out = {f"scheme={scheme if sep else ''}", f"depth={len(folders)}", *(f"folder{i + 1}={'#' if f.isdigit() else f}" for i, f in enumerate(folders)), *(f"key={k.partition('=')[0]}" for k in query.split("&") if k)}
+    out |= {f"top={labels[-1]}"} if host else set()
+    return out | ({f"site={'.'.join(labels[-2:])}"} | {f"sub={x}" for x in labels[:-2]} if len(labels) > 1 else set())
+
+
+def test_tokens_are_those_of_the_whole_url(spark):
+    urls = ["http://a.b.Example.org/x/12/y/z/q.html?k=1&&id=3&flag#k2=3", "https://h/?", "ftp://x.y", "none?a=1", "", None, "http://a.org/1/2/3/4/5/6/7/8/9/10/11"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    u = F.col("url")
+    got = [set(r.t) for r in df.select(urlrules.tokens_of(u, urlrules.host_of(u), urlrules.path_of(u)).alias("t")).collect()]
+    assert got == [brute_tokens(x) for x in urls]
+
+
+def test_verdicts_against_enumerated_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    more = [(10**6 + i, f"http://{h}/{a}/{b}?q={i}", ) for i, (h, a, b) in enumerate((h, a, b) for h in ("a.net", "w.example.net", "b.com") for a in ("en", "es", "fr", "de") for b in ("1", "docs"))]
+    rows = pages.unionByName(spark.createDataFrame(more, "page_id long, url string"))
+    got = {r.page_id: r for r in urlrules.judge(rows).collect()}
+    tokens = {r.page_id: brute_tokens(r.url) for r in rows.collect()}
+    hand = {i: r.verdict for i, r in got.items() if r.rule}
+    where = {}
+    for i in hand:
+        for t in tokens[i]:
+            where.setdefault(t, set()).add(i)
+    reps = {}
+    for t in sorted(where):
+        if len(where[t]) >= 0.01 * len(hand):
+            reps.setdefault(frozenset(where[t]), t)
+    every = {}
+    for i, v in hand.items():
+        have = sorted(tokens[i] & set(reps.values()))
+        for bits in range(1, 1 << len(have)):
+            every.setdefault(frozenset(t for j, t in enumerate(have) if bits >> j & 1), []).append(v)
+    rules = {(k, v): (vs.count(v) / len(vs), vs.count(v) / len(hand)) for k, vs in every.items() for v in set(vs)}
+    rules = {r: c for r, c in rules.items() if c[1] >= 0.01 and c[0] >= 0.8}
+    rules = {r: c for r, c in rules.items() if not any(x < r[0] and v == r[1] and d[0] >= c[0] for (x, v), d in rules.items())}
+    order = sorted(rules, key=lambda r: (len(r[0]), sorted(r[0]), r[1]))
+    undecided = set(got) - set(hand)
+    assert undecided and any(got[i].mined for i in undecided)
+    for i in undecided:
+        fit = [(*rules[r], -len(r[0]), -n, r) for n, r in enumerate(order) if r[0] <= tokens[i]]
+        best = max(fit, key=lambda x: (round(x[0], 9), round(x[1], 9), *x[2:4]))[4] if fit else (None, "allow")
+        assert (got[i].verdict, frozenset(got[i].mined) if got[i].mined else None) == (best[1], best[0]), i
+
+
 # --- WARC -------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"
