@@ -127,7 +127,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rooted = fps.join(comp, fps.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = pin(rooted)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
+    named = small(pin(rooted.join(named, "root").select("fp", "component_id")))
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

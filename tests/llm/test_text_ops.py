@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import zlib
 
@@ -148,6 +149,13 @@ def test_lines_against_brute_force(spark, monkeypatch, limit):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_very_long_texts(spark):
+    long = "\n".join(f"line {i}" for i in range(60_000)) + "\n" + "y" * 500_000
+    df = spark.createDataFrame([(i, f"menu\n{long if i == 0 else i}", "a") for i in range(9)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert got[0].text == long and got[0].lines_kept == 60_001 and got[0].lines_dropped == 1 and got[3].text == "3"
+
+
 # --- licenses ---------------------------------------------------------------
 
 
@@ -313,6 +321,26 @@ def test_encode_and_decode_frames(spark, library):
     assert [r.decoded for r in bpe.decode(spark.createDataFrame([(None,)], "ids binary"), PATH).collect()] == [""]
 
 
+def test_query_encodes_what_the_library_does(spark, library):
+    from gleaner.llm.queries import op10_bpe
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {}
+    for i, t in texts.items():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op10_bpe(spark, sf).collect()} == want
+
+
+def test_long_texts_and_null_ids_round_trip(spark, library):
+    texts = ["word " * 200_000, "x" * 200_000, None]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((bytes(r.ids), r.decoded) for r in bpe.round_trip(df, PATH).collect())
+    assert got == sorted((ids_of(library, t), t or "") for t in texts)
+
+
 # --- packing ----------------------------------------------------------------
 
 

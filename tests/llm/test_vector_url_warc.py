@@ -388,3 +388,17 @@ def test_queries_equal_their_sql(spark, name):
     found = con.execute(ORACLE_SQL[name])
     names = [c[0] for c in found.description]
     assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, sf).select(*names).collect())
+
+
+def test_pipeline_stages_on_empty_and_repeated_rows(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    empty, twice = docs.limit(0), docs.unionByName(docs)
+    once = {r.doc_id for r in cp.near_dedup(spark, docs, sf).collect()}
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+    assert cp.language_id(spark, twice, sf).count() == 2 * docs.count()
+    assert cp.line_dedup(spark, twice, sf).count() == 2 * docs.count()
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, twice, sf).collect()) == sorted(once)
+    assert cp.pack(spark, twice, sf).count() == 2 * cp.pack(spark, docs, sf).count()
