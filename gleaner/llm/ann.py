@@ -32,7 +32,7 @@ from .common import kind_of
 
 #: Rows that the top of the tree is fitted on at most, and its leaves at most: both bound what the driver holds.
 FIT_ROWS, MAX_LEAVES = 8192, 4096
-SHARD_ROWS, BLOCK_QUERIES, BUCKET = 4096, 1024, 64
+SHARD_ROWS, BLOCK_QUERIES, BUCKET = 4096, 2048, 128
 #: Leaves that are searched between one stopping test and the next: the nearest, the next few, the rest.
 ROUNDS = ((0, 1), (1, 4), (4, MAX_LEAVES))
 #: Relative rounding that a matrix product may have against the sum of a vector's products in order.
@@ -225,6 +225,18 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "ve
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
 
 
+def _blocks(counts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """First block and number of blocks for each home leaf: neighbouring leaves share one, and a leaf with many queries has several."""
+    out, block, held = [], 0, 0
+    for home, n in sorted(counts):
+        if held and held + n > BLOCK_QUERIES:
+            block, held = block + 1, 0
+        more = max(1, -(-n // BLOCK_QUERIES))
+        out.append((home, block, more))
+        block, held = (block + more, 0) if more > 1 else (block, held + n)
+    return out
+
+
 class _Dimension:
     """The search among vectors of one dimension, whose largest length is ``top``."""
 
@@ -263,8 +275,8 @@ class _Dimension:
         held = pin(_packed(cand.select("leaf", "shard", "id", "vec", "proj"), ["leaf", "shard"], {"id": "i8", "vec": "", "proj": ""}))
 
         asked = pin(self.placed(rows.join(wanted, "id"), tree, True).withColumnRenamed("leaf", "home").drop("p").withColumn("q", F.monotonically_increasing_id()))
-        blocks = asked.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("blocks"))  # MAX_LEAVES rows at most
-        asked = asked.join(F.broadcast(blocks), "home").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("blocks")
+        blocks = F.broadcast(spark.createDataFrame(_blocks(asked.groupBy("home").count().collect()), "home long, start long, blocks long"))  # MAX_LEAVES rows at most
+        asked = asked.join(blocks, "home").withColumn("block", F.col("start") + F.pmod(F.xxhash64("q"), F.col("blocks"))).drop("home", "start", "blocks")
         nearest = Window.partitionBy("q").orderBy(F.desc("score"), "id")
         best, state = None, asked.withColumn("kth", F.lit(float("-inf")))
         for span in ROUNDS:
@@ -316,7 +328,7 @@ class _Dimension:
                     i, who, score = there.run(asked, vec.astype(np.float64), proj, kth)
                     yield pd.DataFrame({"q": q[i], "id": who, "score": score})
 
-        named = state.select("home", "block", "q", F.col("id").alias("asked"), F.col("vec").alias("qvec"), F.col("proj").alias("qproj"), "kth")
-        together = _packed(named, ["home", "block"], {"q": "i8", "asked": "i8", "qvec": "", "qproj": "", "kth": "f8"})
+        named = state.select("block", "q", F.col("id").alias("asked"), F.col("vec").alias("qvec"), F.col("proj").alias("qproj"), "kth")
+        together = _packed(named, ["block"], {"q": "i8", "asked": "i8", "qvec": "", "qproj": "", "kth": "f8"})
         routed = together.mapInPandas(route, "leaf long, shard long, q binary, asked binary, qvec binary, qproj binary, kth binary")
         return routed.join(held, ["leaf", "shard"]).mapInPandas(look, "q long, id long, score double")
