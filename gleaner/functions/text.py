@@ -63,9 +63,14 @@ def split_profile(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c.cast("string"), F.lit("")), ","), strip), lambda x: x != "")
 
 
-def keyword_score(text: Column, keywords: list[str]) -> Column:
-    """Occurrences of the keywords as substrings; a keyword listed twice counts twice."""
-    low = squeeze(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[/;|]", " "))
+def keyword_text(text: Column) -> Column:
+    """What keywords are looked for in: lower case, squeezed, with ``/``, ``;`` and ``|`` as spaces."""
+    return squeeze(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[/;|]", " "))
+
+
+def keyword_score(text: Column, keywords: list[str], made: bool = False) -> Column:
+    """Occurrences of the keywords as substrings; a keyword listed twice counts twice. ``made``: the text is ``keyword_text`` already."""
+    low = text if made else keyword_text(text)
     total = F.lit(0)
     for kw in keywords:
         total = total + ((F.length(low) - F.length(F.replace(low, F.lit(kw), F.lit("")))) / F.lit(len(kw))).cast("int")
@@ -95,8 +100,23 @@ def json_object(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Decomposed and without combining marks, for Latin letters; nothing else changes."""
+    """Compatibility-decomposed (NFKD) and without combining marks.
+
+    Letters that become one are translated at once, marks dropped, and Latin
+    ligatures, which become several, replaced where there are any. Beyond the
+    basic plane, and syllables and symbols that decompose to several, stay.
+    """
     import unicodedata
 
-    pairs = [(chr(i), d) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))) == 1 and d != chr(i)]
-    return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    def bare(c: str) -> str:
+        return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+    plane = [chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000]
+    pairs = [(c, d) for c in plane if len(d := bare(c)) == 1 and d != c]
+    marks = [c for c in plane if unicodedata.combining(c)]
+    ligatures = [(c, d) for c in plane if len(d := bare(c)) > 1 and (0x130 <= ord(c) < 0x250 or 0xFB00 <= ord(c) < 0xFB07)]
+    out = F.translate(text, "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs))
+    whole = out
+    for c, d in ligatures:
+        whole = F.replace(whole, F.lit(c), F.lit(d))
+    return F.when(out.rlike("[" + "".join(c for c, _ in ligatures) + "]"), whole).otherwise(out)

@@ -142,18 +142,30 @@ def endpoint_bins(metrics: DataFrame, min_jobs: int = 100) -> DataFrame:
     return ends.select(F.coalesce("a1", "a2").alias("first_bin"), F.coalesce("b1", "b2").alias("last_bin"))
 
 
+#: Fixed value: the salary where no row has one.
+DEFAULT_SALARY = 75_000.0
+
+
 def market_value(metrics: DataFrame, total: float | None = None, min_jobs: int = 100) -> DataFrame:
-    """Share x total x median salary of each label in the first and last bin; a missing salary is the bin's median."""
+    """Share x total x median salary of each label in the first and the last bin.
+
+    A label has one salary at both ends: that of its last bin's row, or of its
+    first's if it has none there. A missing salary is the median of all rows,
+    or ``DEFAULT_SALARY`` if no row has one. ``total`` is, unless given, the
+    sum over labels of the last bin's (else the first's) number of jobs, 1 at least.
+    """
     ends = endpoint_bins(metrics, min_jobs)
-    rows = metrics.crossJoin(F.broadcast(ends))
-    everywhere = metrics.agg(F.median("salary_median").alias("typical"), F.sum("n_jobs").alias("jobs"))
+    typical = metrics.agg(F.coalesce(F.median("salary_median"), F.lit(DEFAULT_SALARY)).alias("typical"))
+    rows = metrics.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(typical)).where("time_bin in (first_bin, last_bin)")  # one row each
+    rows = rows.withColumn("salary", F.coalesce("salary_median", "typical"))
     at = lambda c, b: F.max(F.when(F.col("time_bin") == F.col(b), F.col(c)))
-    found = rows.where("time_bin in (first_bin, last_bin)").groupBy("cluster_label").agg(
-        *(at(c, b).alias(f"{n}_{e}") for c, n in (("share_jobs", "share"), ("salary_median", "salary")) for b, e in (("first_bin", "first"), ("last_bin", "last")))
-    ).crossJoin(F.broadcast(everywhere))
+    late = lambda c: F.coalesce(at(c, "last_bin"), at(c, "first_bin"))
+    found = rows.groupBy("cluster_label").agg(at("share_jobs", "first_bin").alias("a"), at("share_jobs", "last_bin").alias("b"), late("salary").alias("salary"), late("n_jobs").alias("n_jobs"))
+    jobs = found.agg(F.greatest(F.coalesce(F.sum("n_jobs"), F.lit(0)), F.lit(1)).alias("jobs"))
     size = F.lit(float(total)) if total is not None else F.col("jobs")
-    value = lambda e: F.coalesce(F.col(f"share_{e}"), F.lit(0.0)) * size * F.coalesce(F.col(f"salary_{e}"), F.col("typical"), F.lit(0.0))
-    return found.select("cluster_label", value("first").alias("value_first"), value("last").alias("value_last")).withColumn("value_delta", F.col("value_last") - F.col("value_first"))
+    value = lambda c: F.coalesce(c, F.lit(0.0)) * size * F.col("salary")
+    found = found.crossJoin(F.broadcast(jobs)).select("cluster_label", "n_jobs", value(F.col("a")).alias("value_first"), value(F.col("b")).alias("value_last"))
+    return found.withColumn("value_delta", F.col("value_last") - F.col("value_first"))
 
 
 def tiered_cost(amount: F.Column, tiers: list[tuple[float, float, float]]) -> F.Column:

@@ -130,6 +130,23 @@ def focus_clusters(labels: DataFrame, domains: list[str], most: int) -> list[dic
     return out
 
 
+def focus_decay(focus: list[dict], decay: DataFrame) -> DataFrame:
+    """The focus clusters, in their order, with the columns of their decay summary; null where a cluster has none."""
+    chosen = decay.sparkSession.createDataFrame([(i, f["cluster_id"], f["cluster_label"], f["domain"], f["display_label"], f["color"]) for i, f in enumerate(focus)], "focus_rank int, cluster_id int, cluster_label string, domain string, display_label string, color string")
+    summary = decay.drop("cluster_label").withColumnRenamed("cluster_id", "__id")
+    return chosen.join(summary, chosen.cluster_id == F.col("__id"), "left").drop("__id")
+
+
+def diagnostic_clusters(df: DataFrame, vector: str, id_col: str, most: int = 8) -> tuple[DataFrame | None, DataFrame | None, str | None]:
+    """``fit_clusters`` with ``most`` clusters at most, and no note; or a note why there are none: too few rows, dimensions or distinct points."""
+    some = df.select(F.size(vector).alias("n")).limit(8).collect()
+    if len(some) < 8 or min(r["n"] for r in some) < 2:
+        return None, None, "Skipped: fewer than 8 rows or fewer than 2 vector dimensions."
+    if df.select(F.transform(F.col(vector), lambda x: F.round(x.cast("double"), 12)).alias("v")).distinct().limit(2).count() < 2:
+        return None, None, "Skipped: fewer than 2 distinct vector points."
+    return *fit_clusters(df, vector, most, id_col), None
+
+
 def trajectories(points: DataFrame, top_n: int = 5) -> DataFrame:
     """Mean position ``(x, y)`` of the largest clusters in their first and last bin, and the distance between."""
     sizes = points.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(top_n).select("cluster_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_score, split_evolution, split_growth
+from ..functions.text import keyword_score, keyword_text, split_evolution, split_growth
 from ..functions.vector import dot
 
 # The domains, in the order that breaks ties, with keywords and prompts.
@@ -46,8 +46,8 @@ def skill_long(df: DataFrame, skills: str | None, id_col: str = "job_id") -> Dat
 
 
 def keyword_domain(text: Column) -> Column:
-    """Struct ``(domain, score)`` of the largest keyword score; the first domain of equals."""
-    ranked = [F.struct(keyword_score(text, words).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("domain")) for i, (name, (_, words, _)) in enumerate(DOMAINS.items())]
+    """Struct ``(domain, score)`` of the largest keyword score in a ``keyword_text``; the first domain of equals."""
+    ranked = [F.struct(keyword_score(text, words, made=True).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("domain")) for i, (name, (_, words, _)) in enumerate(DOMAINS.items())]
     best = F.greatest(*ranked)
     return F.struct(best["domain"].alias("domain"), best["score"].alias("score"))
 
@@ -62,7 +62,8 @@ def assign_domains(df: DataFrame, vector: str | None, prompts: dict[str, list[fl
     names = list(DOMAINS)
     near = [dot(F.col(vector), F.array(*(F.lit(float(x)) for x in prompts[n]))) if vector and prompts else F.lit(0.0) for n in names]
     ranked = F.reverse(F.array_sort(F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("d")) for i, (n, s) in enumerate(zip(names, near, strict=True))))))
-    out = df.withColumn("__r", ranked).withColumn("__k", keyword_domain(text))
+    # the squeezed text is a column of its own, made once, though 61 keywords are counted in it
+    out = df.withColumn("__r", ranked).withColumn("__low", keyword_text(text)).withColumn("__k", keyword_domain(F.col("__low"))).drop("__low")
     best, second, kw = F.col("__r")[0]["s"], F.col("__r")[1]["s"], F.col("__k.score")
     by_keyword = (kw >= 2) | ((kw >= 1) & (best < confidence))
     labels = F.create_map(*(F.lit(x) for n, v in DOMAINS.items() for x in (n, v[0])))
@@ -94,6 +95,14 @@ def domain_skill_share(skills: DataFrame, jobs: DataFrame) -> DataFrame:
     return counts.join(totals, ["domain", "time_bin"], "left").withColumn("share_pct", F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0)))
 
 
+def domain_counts(jobs: DataFrame) -> DataFrame:
+    """``(domain, domain_label, n_jobs, n_uncertain)`` of every domain, with zeros for those without a job."""
+    spark = jobs.sparkSession
+    every = spark.createDataFrame([(d, v[0]) for d, v in DOMAINS.items()], "domain string, domain_label string")
+    found = jobs.groupBy("domain").agg(F.countDistinct("job_id").alias("n"), F.count_if("is_uncertain").alias("u"))
+    return every.join(F.broadcast(found), "domain", "left").select("domain", "domain_label", F.coalesce("n", F.lit(0)).cast("long").alias("n_jobs"), F.coalesce("u", F.lit(0)).cast("long").alias("n_uncertain"))
+
+
 def top_skills(shares: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """The n skills of the largest summed counts (for each ``by``), ties by name, with ``total`` and ``rank``."""
     keys = by or []

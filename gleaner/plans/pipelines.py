@@ -6,15 +6,18 @@ command line writes them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import detect
 from ..functions.text import join_texts
 from ..functions.time import time_bin, with_time
+from ..functions.vector import unit
+from ..lineage import pin
 from ..operators import analytics, audit, clusters, lifecycle, models, skills, sparse, vectors
 from ..operators.silver import build_silver
 from ..sources import tables
@@ -34,8 +37,22 @@ def silver(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build_tfidf(jobs: DataFrame, config: sparse.Config = sparse.RETRIEVAL) -> Run:
-    """Postings of the text cards, and the ids they stand for."""
-    return Run({"postings": sparse.tfidf(jobs, "job_id", "job_card_text", config), "ids": jobs.select("job_id")})
+    """Postings of the text cards, the ids they stand for, and the vocabulary, with which new texts can be transformed."""
+    _require(jobs, "job_id", "job_card_text")
+    vocab = pin(sparse.fit(jobs, "job_id", "job_card_text", config))
+    return Run({"postings": sparse.tfidf(jobs, "job_id", "job_card_text", config, vocab), "ids": jobs.select("job_id"), "vocabulary": vocab}, {"config": asdict(config)})
+
+
+def transform_tfidf(spark: SparkSession, folder: str, jobs: DataFrame) -> DataFrame:
+    """Postings of new texts by the model that ``build_tfidf`` wrote to ``folder``."""
+    meta = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
+    config = sparse.Config(**{**meta["config"], "stop_words": tuple(meta["config"]["stop_words"])})
+    return sparse.tfidf(jobs, "job_id", "job_card_text", config, spark.read.parquet(f"{folder}/vocabulary"))
+
+
+def _require(df: DataFrame, *columns: str) -> None:
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"missing required columns: {missing}")
 
 
 def _prepare(jobs: DataFrame, time_column: str, size: str, sample: int | None, mode: str) -> DataFrame:
@@ -71,14 +88,27 @@ def temporal_demo(jobs: DataFrame, time_column: str = "listed_time", size: str =
     }
     if salary:
         weighted = analytics.salary_weights(held)
-        centres = vectors.normalized(vectors.mean_vectors(weighted.where("salary_weight is not null"), ["month"], "vector", F.col("salary_weight")))
-        out["salary_drift"] = vectors.drift(centres, "month", keep_first=False).withColumnRenamed("n", "n_salary_jobs")
+        out["salary_drift"] = salary_drift(weighted)
         out["salary_summary"] = analytics.salary_summary(weighted)
     months = {r["month"]: r["rows"] for r in audit.volumes(rows, size=size).collect()}
-    if sum(months.values()) >= 8:
-        labelled, centre = clusters.fit_clusters(held, "vector", 8, "job_id")
-        out |= {"clusters": labelled.select("job_id", "cluster_id", "title"), "cluster_centroids": centre}
-    return Run({k: v for k, v in out.items() if v is not None}, {"rows": sum(months.values()), "rows_per_month": months, "reliability": audit.reliability(months)})
+    labelled, centre, note = clusters.diagnostic_clusters(held, "vector", "job_id")
+    if note is None:
+        labelled = labelled.select("job_id", "cluster_id", "title", "month").cache()
+        out |= {"clusters": labelled, "cluster_centroids": centre, "cluster_titles": clusters.cluster_titles(labelled)}
+    return Run({k: v for k, v in out.items() if v is not None}, {"rows": sum(months.values()), "rows_per_month": months, "reliability": audit.reliability(months), "cluster_note": note})
+
+
+def salary_drift(weighted: DataFrame) -> DataFrame:
+    """Drift of salary-weighted centroids, with jobs, salaried jobs and coverage of both months."""
+    centres = vectors.normalized(vectors.mean_vectors(weighted.where("salary_weight is not null"), ["month"], "vector", F.col("salary_weight")))
+    counts = weighted.groupBy("month").agg(F.count("*").alias("jobs"), F.count("salary_weight").alias("paid"))
+    found = vectors.drift(centres.drop("n").join(F.broadcast(counts), "month"), "month", keep_first=False)  # a row for each bin
+    before = counts.select(F.col("month").alias("previous_month"), F.col("jobs").alias("n_from"), F.col("paid").alias("n_salary_from"))
+    found = found.join(F.broadcast(before), "previous_month").withColumnsRenamed({"jobs": "n_to", "paid": "n_salary_to"})
+    return found.select(
+        "month", "previous_month", "n_from", "n_to", "n_salary_from", "n_salary_to", (F.col("n_salary_from") / F.col("n_from")).alias("salary_coverage_from"),
+        (F.col("n_salary_to") / F.col("n_to")).alias("salary_coverage_to"), "cosine_similarity", "centroid_drift",
+    )
 
 
 def temporal_clusters(jobs: DataFrame, k: int = 12, size: str = "D", max_rows: int | None = None, time_column: str | None = None, closure_column: str | None = None, encoder: models.Encoder | None = None) -> Run:
@@ -87,6 +117,8 @@ def temporal_clusters(jobs: DataFrame, k: int = 12, size: str = "D", max_rows: i
     rows = analytics.hash_sample(jobs, max_rows, "job_id") if max_rows else jobs
     rows = with_time(rows, found.time, "posted").withColumn("time_bin", time_bin(F.col("posted"), size))
     rows = rows.withColumn("__text", join_texts([F.col(c) for c in found.text])).cache()
+    asked, why = encoder, models.available(encoder)
+    encoder = None if why else encoder
     if encoder is None:
         docs = sparse.doc_vectors(rows, "job_id", "__text", sparse.CLUSTERS).persist()
         vec, postings = models.svd_embeddings(docs, "job_id"), sparse.as_postings(docs, "job_id")
@@ -98,12 +130,19 @@ def temporal_clusters(jobs: DataFrame, k: int = 12, size: str = "D", max_rows: i
     labels = clusters.label_clusters(labelled, sparse.top_terms(postings, labelled, "job_id", "cluster_id"), found.skill)
     metrics = clusters.cluster_metrics(labelled, "vector", centroids, labels, found.skill)
     out = {"labels": labels, "metrics": metrics, "growth": clusters.cluster_growth(metrics), "centroids": centroids}
-    meta: dict[str, Any] = {"columns": found.__dict__, "decay": found.decay_available}
+    used = {"requested": "tfidf_svd" if asked is None else asked.name, "used": "tfidf_svd" if encoder is None else encoder.name, "model": getattr(encoder, "model", None), "fallback_reason": why}
+    meta: dict[str, Any] = {"columns": found.__dict__, "decay": found.decay_available, "embedding": used}
+    focus = clusters.focus_clusters(labels, list(clusters.FOCUS), 5)
+    if size == "D" and focus:
+        chosen = rows.sparkSession.createDataFrame([(f["cluster_id"], f["display_label"]) for f in focus], "cluster_id int, display_label string")
+        out["focus_grid"] = clusters.daily_grid(metrics, chosen)
     if found.decay_available:
         end = found.closure or found.last_seen
         closed = with_time(labelled, end, "__end")
         spans = lifecycle.durations(closed, "posted", "__end" if found.closure else None, "__end")
         out |= {"durations": spans, "decay": lifecycle.exponential_decay(spans), "survival": lifecycle.observed_survival(spans)}
+        if focus:
+            out["focus_decay"] = clusters.focus_decay(focus, out["decay"])
     else:
         meta["decay_reason"] = "No closure, expiration, taken, or last-seen column was found."
     return Run(out, meta)
@@ -115,21 +154,20 @@ def skill_evolution(jobs: DataFrame, size: str = "M", max_rows: int | None = Non
     rows = analytics.hash_sample(jobs, max_rows, "job_id") if max_rows else jobs
     rows = with_time(rows, found.time, "posted").where("posted is not null").withColumn("time_bin", time_bin(F.col("posted"), size))
     rows = rows.withColumn("__text", join_texts([F.col(c) for c in found.text])).cache()
-    # the prompts are vectorised together with the rows, under ids that no job has
-    kind = rows.schema["job_id"].dataType.simpleString()
-    prompts = rows.sparkSession.createDataFrame([(-1 - i, p) for i, (_, _, p) in enumerate(skills.DOMAINS.values())], "i long, __text string")
-    both = rows.select(F.col("job_id").cast("long").alias("i"), "__text").unionByName(prompts)
-    vec = models.svd_embeddings(sparse.doc_vectors(both, "i", "__text", sparse.CLUSTERS), "i")
-    vec = vec.cache()
-    seeds = {r["i"]: r["vector"] for r in vec.where("i < 0").collect()}
-    named = {d: seeds.get(-1 - i, [0.0] * len(next(iter(seeds.values()), []))) for i, d in enumerate(skills.DOMAINS)} if seeds else None
-    held = rows.join(vec.select(F.col("i").cast(kind).alias("job_id"), "vector"), "job_id", "left")
+    vocab = pin(sparse.fit(rows, "job_id", "__text", sparse.CLUSTERS))
+    docs = sparse.doc_vectors(rows, "job_id", "__text", sparse.CLUSTERS, vocab).persist()
+    svd = models.fit_svd(docs, "job_id")
+    embed = lambda d, i: svd.transform(d, i).withColumn("vector", unit(F.col("vector")))
+    # the prompts are transformed by what the jobs have taught, and teach nothing themselves
+    prompts = rows.sparkSession.createDataFrame([(d, p) for d, (_, _, p) in skills.DOMAINS.items()], "domain string, __text string")
+    seeds = {r["domain"]: r["vector"] for r in embed(sparse.doc_vectors(prompts, "domain", "__text", sparse.CLUSTERS, vocab), "domain").collect()}
+    named = {d: seeds.get(d, [0.0] * svd.basis.shape[1]) for d in skills.DOMAINS}
+    held = rows.join(embed(docs, "job_id"), "job_id", "left")
     text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("__text", found.skill) if c))
-    jobs_in = skills.assign_domains(held, "vector", named, text, confidence, margin)
+    jobs_in = skills.assign_domains(held, "vector", named, text, confidence, margin).drop("vector", "__text").persist()
     long = skills.skill_long(rows, found.skill)
-    shares = skills.domain_skill_share(long, jobs_in)
-    counts = jobs_in.groupBy("domain").agg(F.countDistinct("job_id").alias("n_jobs"), F.count_if("is_uncertain").alias("n_uncertain"))
-    return Run({"domains": jobs_in.drop("vector", "__text"), "domain_counts": counts, "shares": shares, "composition": skills.skill_composition(shares, 5), "top_skills": skills.top_skills(shares, top_n, ["domain"])})
+    shares = skills.domain_skill_share(long, jobs_in).persist()
+    return Run({"domains": jobs_in, "skills": long, "domain_counts": skills.domain_counts(jobs_in), "shares": shares, "composition": skills.skill_composition(shares, 5), "top_skills": skills.top_skills(shares, top_n, ["domain"])})
 
 
 def audit_run(jobs: DataFrame, time_column: str = "listed_time") -> Run:
@@ -142,8 +180,3 @@ def markdown(df: DataFrame, columns: list[str], rows: int = 20) -> str:
     text = lambda v: "" if v is None else (f"{v:.4f}" if isinstance(v, float) else str(v)).replace("|", "\\|")
     body = ["| " + " | ".join(text(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(rows).collect()]
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *body])
-
-
-def rank_column(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with its rank by a column over a handful of rows of a report."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(order))))

@@ -429,12 +429,13 @@ def trajectories(spark, d):
 
 
 @query("with " + _METRICS + """, t as (select time_bin, sum(n_jobs) as n from mm group by 1), b as (select coalesce(min(time_bin) filter (n >= 100), min(time_bin)) as a, coalesce(max(time_bin) filter (n >= 100), max(time_bin)) as b from t),
-       g as (select median(salary_median) as typical, sum(n_jobs) as jobs from mm), v as (select 'c' || cluster_id as cluster_label, max(share_jobs) filter (time_bin = a) as s0, max(salary_median) filter (time_bin = a) as p0, max(share_jobs) filter (time_bin = b) as s1, max(salary_median) filter (time_bin = b) as p1 from mm, b where time_bin in (a, b) group by 1)
-       select cluster_label, round(coalesce(s0, 0) * jobs * coalesce(p0, typical, 0), 4) as value_first, round(coalesce(s1, 0) * jobs * coalesce(p1, typical, 0), 4) as value_last from v, g""")
+       f as (select mm.*, coalesce(salary_median, (select median(salary_median) from mm), 75000) as salary from mm), p as (select f.* from f, b where time_bin = a), q as (select f.* from f, b where time_bin = b),
+       v as (select coalesce(q.cluster_id, p.cluster_id) as cluster_id, coalesce(p.share_jobs, 0) as s0, coalesce(q.share_jobs, 0) as s1, case when q.cluster_id is not null then q.salary else p.salary end as salary, case when q.cluster_id is not null then q.n_jobs else p.n_jobs end as n_jobs from p full outer join q on p.cluster_id = q.cluster_id)
+       select 'c' || cluster_id as cluster_label, n_jobs::bigint as n_jobs, round(s0 * (select greatest(sum(n_jobs), 1) from v) * salary, 4) as value_first, round(s1 * (select greatest(sum(n_jobs), 1) from v) * salary, 4) as value_last from v""")
 def market_value(spark, d):
     metrics = clusters.cluster_metrics(_clustered(spark, d), None, None, None, None).withColumn("cluster_label", F.concat(F.lit("c"), F.col("cluster_id").cast("string")))
     found = analytics.market_value(metrics)
-    return found.select("cluster_label", _r("value_first", 4).alias("value_first"), _r("value_last", 4).alias("value_last"))
+    return found.select("cluster_label", "n_jobs", _r("value_first", 4).alias("value_first"), _r("value_last", 4).alias("value_last"))
 
 
 # --- lifecycle --------------------------------------------------------------
@@ -605,7 +606,7 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
     c, i = F.col, F.col("doc_id")
     month = F.add_months(F.lit("2024-01-01").cast("date"), (i % 5).cast("int"))
     return _t(spark, d, "documents").select(
-        i.alias("job_id"), c("source").alias("title"), F.substring("text", 1, 80).alias("description"), c("text").alias("job_card_text"), F.concat("lang", F.lit(", "), "source").alias("skills_text"),
+        i.alias("job_id"), c("source").alias("title"), c("text").alias("description"), c("text").alias("job_card_text"), F.concat("lang", F.lit(", "), "source").alias("skills_text"),
         F.date_format(F.date_add(month, (i % 28).cast("int")), "yyyy-MM-dd").alias("listed_time"), F.when(i % 3 > 0, F.date_format(F.date_add(month, (i % 28 + i % 40).cast("int")), "yyyy-MM-dd")).alias("closed_time"),
         F.when(i % 4 > 0, (c("n_chars") * 10 + 20_000).cast("double")).alias("normalized_salary"), F.lit("USD").alias("currency"), F.lit("YEARLY").alias("pay_period"),
     )

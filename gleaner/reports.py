@@ -59,7 +59,11 @@ def demo_report(run: Run, before: str | None = None) -> str:
         for name, rows in (("Rising skills", growth.where("share_delta >= 0").orderBy(F.desc("share_delta"), "skill")), ("Declining skills", growth.where("share_delta < 0").orderBy("share_delta", "skill"))):
             out += _section(name, markdown(rows, ["skill", "first_count", "last_count", "share_delta"], 10))
     if "salary_drift" in run.tables:
-        out += _section("Salary-weighted drift", markdown(run.tables["salary_drift"].orderBy("month"), ["month", "previous_month", "centroid_drift", "n_salary_jobs"], 120))
+        out += _section("Salary-weighted drift", markdown(run.tables["salary_drift"].orderBy("month"), ["month", "previous_month", "centroid_drift", "n_salary_from", "n_salary_to", "salary_coverage_from", "salary_coverage_to"], 120))
+    if "cluster_titles" in run.tables:
+        out += _section("Diagnostic clusters", markdown(run.tables["cluster_titles"].orderBy("cluster_id"), ["cluster_id", "n_jobs", "titles"], 8))
+    elif run.meta.get("cluster_note"):
+        out += _section("Diagnostic clusters", run.meta["cluster_note"])
     return "\n".join(out + ([] if before is None else _section("Comparison", before)))
 
 
@@ -76,6 +80,8 @@ def cluster_report(run: Run) -> str:
     out = ["# Clusters through time", "", *_section("Clusters", markdown(t["labels"].orderBy("cluster_id"), ["cluster_id", "cluster_label", "n_jobs", "top_skills"], 50))]
     for name, rows in (("Growing", t["growth"].where("share_delta >= 0").orderBy(F.desc("share_delta"))), ("Shrinking", t["growth"].where("share_delta < 0").orderBy("share_delta"))):
         out += _section(name, markdown(rows, ["cluster_id", "first_share", "last_share", "share_delta"], 10))
+    if "focus_decay" in t:
+        out += _section("Focus clusters", markdown(t["focus_decay"].orderBy("focus_rank"), ["cluster_id", "display_label", "domain", "n_rows", "lambda", "half_life_days"]))
     if "decay" in t:
         return "\n".join(out + _section("Decay", markdown(t["decay"].orderBy("cluster_id"), ["cluster_id", "n_rows", "n_events", "n_censored", "lambda", "half_life_days", "warning"], 50)))
     return "\n".join(out + _section("Decay is not available", run.meta["decay_reason"]))
@@ -90,7 +96,23 @@ def evolution_report(run: Run) -> str:
 
 
 def evaluation_report(result: dict[str, Any], k: int) -> str:
-    return "\n".join(["# Retrieval evaluation", "", "| metric | value |", "| --- | --- |", *(f"| {name}{f'@{k}' if name in ('recall', 'mrr', 'ndcg') else ''} | {value:.4f} |" for name, value in result.items())])
+    shown = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "\n".join(["# Retrieval evaluation", "", "| metric | value |", "| --- | --- |", *(f"| {name}{f'@{k}' if name in ('recall', 'mrr', 'ndcg') else ''} | {shown(value)} |" for name, value in result.items())])
+
+
+#: Batches that are timed, and texts in each.
+PROFILE_BATCHES, PROFILE_TEXTS = 20, 64
+
+
+def encode_profile(df: DataFrame, columns: tuple[str, ...], coder: Any) -> dict[str, float]:
+    """Latency p50 and p95 and throughput of an encoder over the first texts of ``columns``, in batches."""
+    texts = [t for r in df.select(*columns).limit(PROFILE_BATCHES * PROFILE_TEXTS // len(columns)).collect() for t in r]
+    profile = EncodeProfile()
+    for a in range(0, len(texts), PROFILE_TEXTS):
+        part = df.sparkSession.createDataFrame([(t,) for t in texts[a : a + PROFILE_TEXTS]], "text string").coalesce(1)
+        with profile.batch(min(PROFILE_TEXTS, len(texts) - a)):
+            coder.encode(part, "text").write.format("noop").mode("overwrite").save()
+    return {"latency_p50_ms": profile.percentile_ms(0.5), "latency_p95_ms": profile.percentile_ms(0.95), "throughput_texts_per_sec": profile.texts_per_second}
 
 
 REPORTS = {"temporal-audit": audit_report, "temporal-demo": demo_report, "temporal-clusters": cluster_report, "skill-evolution": evolution_report}

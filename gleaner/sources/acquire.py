@@ -59,7 +59,7 @@ def download(url: str, folder: str) -> Path:
 
 def sample(spark: SparkSession, source: str, target: str, n: int) -> dict[str, int]:
     """The n postings with the smallest ids, their children, companies and all mappings; returns rows by table."""
-    read = lambda name: spark.read.options(**CSV).csv(f"{source}/{name}")
+    read = lambda name: spark.read.options(**CSV, multiLine=True).csv(f"{source}/{name}")
     jobs = read("postings.csv")
     chosen = jobs.orderBy(jobs.job_id.cast("long")).limit(n).cache()
     tables: dict[str, DataFrame] = {"postings.csv": chosen}

@@ -64,6 +64,7 @@ def test_strip_takes_all_white_space(spark):
     assert one(spark, text.strip(lit("\t  a b \n"))) == "a b"
     assert one(spark, text.join_texts([lit("a"), lit(None), lit("b")])) == "a  b"
     assert one(spark, text.strip_accents(lit("naïve Ñandú ß ž"))) == "naive Nandu ß z"
+    assert one(spark, text.strip_accents(lit("e\u0301 ﬁn ﬄ Ĳ ｆｕｌｌ ά й ①"))) == "e fin ffl IJ full α и 1"
     assert one(spark, text.json_object(lit('say {"a": {"b": 1}} ok'))) == '{"a": {"b": 1}}'
     assert one(spark, text.json_object(lit("none"))) is None
 

@@ -346,6 +346,97 @@ def test_command_line(spark, jobs, folder, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[0])["stage"] == "build-silver"
 
 
+def test_market_value_has_one_salary_a_label(spark):
+    made = [("2024-01", "a", 100, 0.5, 50.0), ("2024-01", "b", 100, 0.5, None), ("2024-02", "a", 300, 0.75, 200.0), ("2024-02", "b", 100, 0.25, None), ("2024-03", "a", 5, 1.0, 1.0)]
+    schema = "time_bin string, cluster_label string, n_jobs long, share_jobs double, salary_median double"
+    got = analytics.market_value(spark.createDataFrame(made, schema))
+    # the third bin is too small to be an end; jobs are 300 + 100; b's salary is the median of 50, 200 and 1
+    assert rows(got, "cluster_label", "n_jobs", "value_first", "value_last") == [("a", 300, 40_000.0, 60_000.0), ("b", 100, 10_000.0, 5_000.0)]
+    gone = analytics.market_value(spark.createDataFrame([r for r in made if r[:2] != ("2024-02", "b")], schema))
+    assert rows(gone, "cluster_label", "n_jobs", "value_last") == [("a", 300, 60_000.0), ("b", 100, 0.0)]
+    bare = analytics.market_value(spark.createDataFrame([("2024-01", "a", 100, 1.0, None)], schema))
+    assert rows(bare, "value_last") == [(7_500_000.0,)]
+    assert analytics.market_value(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_prompts_teach_nothing_and_ids_may_be_text(spark, jobs):
+    plain = pipelines.skill_evolution(jobs).tables
+    named = pipelines.skill_evolution(jobs.withColumn("job_id", F.concat(F.lit("j"), (F.col("job_id") - 3).cast("string")))).tables
+    assert rows(plain["domains"], "domain", "is_uncertain") == rows(named["domains"], "domain", "is_uncertain")
+    counts = {r.domain: r.n_jobs for r in plain["domain_counts"].collect()}
+    assert list(counts) and set(counts) == set(skills.DOMAINS) and counts["sales"] == 0 and sum(counts.values()) == jobs.count()
+
+
+def test_runs_carry_coverage_focus_and_notes(spark, jobs):
+    demo = pipelines.temporal_demo(jobs, salary=True)
+    r = demo.tables["salary_drift"].orderBy("month").first()
+    assert (r.n_from, r.n_to) == (12, 12) and r.salary_coverage_to == r.n_salary_to / r.n_to and demo.meta["cluster_note"] is None
+    assert demo.tables["cluster_titles"].agg(F.sum("n_jobs")).first()[0] == jobs.count()
+    few = pipelines.temporal_demo(jobs.limit(5))
+    assert "clusters" not in few.tables and few.meta["cluster_note"].startswith("Skipped")
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "i long, v array<double>")
+    assert clusters.diagnostic_clusters(same, "v", "i")[2] == "Skipped: fewer than 2 distinct vector points."
+    found = pipelines.temporal_clusters(jobs, k=2, size="D", encoder=models.SentenceEncoder("none", 4))
+    assert found.meta["embedding"]["used"] == "tfidf_svd" and "not installed" in found.meta["embedding"]["fallback_reason"]
+    focus = found.tables["focus_decay"].orderBy("focus_rank").collect()
+    assert len(focus) == 2 and all(f["lambda"] is not None for f in focus)
+    grid = found.tables["focus_grid"]
+    assert grid.count() == 2 * grid.select("day").distinct().count() and grid.agg(F.sum("n_jobs")).first()[0] == jobs.count()
+
+
+def test_a_saved_model_transforms_new_texts(spark, jobs, tmp_path):
+    config = tmp_path / "c.yaml"
+    config.write_text("tfidf: {max_features: 40, ngram_range: [1, 1], min_df: 1, sublinear_tf: false}\nretrieval: {top_k_default: 2}\nlogging: {level: ERROR}\n")
+    jobs.write.mode("overwrite").parquet(f"{tmp_path}/jobs")
+    run = lambda *a: cli.main([*a], spark)
+    made = run("build-tfidf", "--input", f"{tmp_path}/jobs", "--output", f"{tmp_path}/t", "--config", str(config), "--export", "csv")
+    assert made["input_rows"] == jobs.count() and made["outputs"]["ids"]["rows"] == jobs.count() and made["outputs"]["vocabulary"]["rows"] <= 40
+    assert tables.verified_rows(spark, made["outputs"]) == made["outputs"]
+    with pytest.raises(ValueError, match="ids: "):
+        tables.verified_rows(spark, {"ids": {"rows": 1, "path": f"{tmp_path}/t/ids"}})
+    assert spark.read.option("header", True).csv(f"{tmp_path}/t/postings.csv").count() == made["outputs"]["postings"]["rows"]
+    again = pipelines.transform_tfidf(spark, f"{tmp_path}/t", jobs.limit(1))
+    old = spark.read.parquet(f"{tmp_path}/t/postings")
+    one = jobs.limit(1).first().job_id
+    assert [(t, round(w, 9)) for t, w in rows(again, "term", "weight")] == [(t, round(w, 9)) for t, w in rows(old.where(F.col("job_id") == one), "term", "weight")]
+    assert pipelines.transform_tfidf(spark, f"{tmp_path}/t", spark.createDataFrame([(9, "zzz qqq")], "job_id long, job_card_text string")).count() == 0
+    assert len(run("recommend", "--input", f"{tmp_path}/t", "--job-id", "0", "--config", str(config))["results"]) == 2
+    with pytest.raises(ValueError, match="unknown tfidf"):
+        cli.vectoriser({"tfidf": {"max_feature": 1}})
+    with pytest.raises(ValueError, match="missing required"):
+        pipelines.build_tfidf(jobs.drop("job_card_text"))
+
+
+def test_demo_compares_and_evaluation_reports(spark, jobs, tmp_path):
+    jobs.write.mode("overwrite").parquet(f"{tmp_path}/jobs")
+    run = lambda *a: cli.main([*a], spark)
+    run("temporal-demo", "--input", f"{tmp_path}/jobs", "--output", f"{tmp_path}/a")
+    run("temporal-demo", "--input", f"{tmp_path}/jobs", "--output", f"{tmp_path}/b", "--compare", f"{tmp_path}/a")
+    report = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/b/report").collect())
+    assert "## Comparison" in report and "(+0.0000)" in report
+    line = '{"anchor": "desarrollador python", "positive": "python developer", "negative": "nurse", "difficulty": "hard"}\n'
+    (tmp_path / "t.jsonl").write_text(line * 3)
+    got = run("evaluate", "--input", f"{tmp_path}/t.jsonl", "--output", f"{tmp_path}/e")
+    assert got["n_queries"] == 3 and got["recall"] == 1.0 and got["backend"] == "buckets" and got["latency_p95_ms"] >= got["latency_p50_ms"] > 0
+    assert any("latency_p50_ms" in r.value for r in spark.read.text(f"{tmp_path}/e/report").collect())
+    with pytest.raises(RuntimeError, match="not installed"):
+        run("evaluate", "--input", f"{tmp_path}/t.jsonl", "--output", f"{tmp_path}/e", "--encoder", "sentence-transformers")
+    (tmp_path / "bad.jsonl").write_text(line + "\n" + "[1]\n")
+    with pytest.raises(Exception, match=r"bad.jsonl, line 3: not a JSON object: \[1\]"):
+        tables.eval_triplets(spark, f"{tmp_path}/bad.jsonl").collect()
+
+
+def test_svd_is_that_of_the_matrix(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.where(rng.random((60, 25)) < 0.3, rng.random((60, 25)), 0.0)
+    docs = spark.createDataFrame([(i, [f"t{j:02d}" for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)], "i long, terms array<string>, weights array<double>")
+    got = np.array([r.vector for r in models.truncated_svd(docs, "i", 3).orderBy("i").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(got @ got.T, (u[:, :3] * s[:3] ** 2) @ u[:, :3].T, atol=0.05 * s[0] ** 2)
+
+
 def _plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5) + 0.0
