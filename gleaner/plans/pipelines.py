@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..contracts import detect
 from ..functions.text import join_texts
 from ..functions.time import time_bin, with_time
-from ..functions.vector import unit
 from ..lineage import pin
 from ..operators import analytics, audit, clusters, lifecycle, models, skills, sparse, vectors
 from ..operators.silver import build_silver
@@ -75,11 +74,11 @@ def temporal_demo(jobs: DataFrame, time_column: str = "listed_time", size: str =
     sizes = rows.groupBy("month").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_jobs).select("month")
     rows = rows.join(F.broadcast(sizes), "month", "left_semi").cache()  # one row for each time bin
     if representation == "tfidf_svd":
-        vec = models.svd_embeddings(sparse.doc_vectors(rows, "job_id", "job_card_text", sparse.DRIFT), "job_id")
+        docs = sparse.doc_vectors(rows, "job_id", "job_card_text", sparse.DRIFT).persist()
+        held = models.fit_svd(docs, "job_id").embed(rows, docs, "job_id").cache()
     else:
         coder = encoder or models.MockEncoder()
-        vec = coder.encode(rows.select("job_id", "job_card_text"), "job_card_text").select("job_id", F.col("embedding").alias("vector"))
-    held = rows.join(vec, "job_id").cache()
+        held = coder.encode(rows, "job_card_text").withColumnRenamed("embedding", "vector").cache()
     centroids = vectors.normalized(vectors.mean_vectors(held, ["month"], "vector"))
     out = {
         "drift": vectors.drift(centroids, "month", keep_first=representation == "tfidf_svd").withColumnRenamed("n", "jobs_in_month"),
@@ -121,11 +120,11 @@ def temporal_clusters(jobs: DataFrame, k: int = 12, size: str = "D", max_rows: i
     encoder = None if why else encoder
     if encoder is None:
         docs = sparse.doc_vectors(rows, "job_id", "__text", sparse.CLUSTERS).persist()
-        vec, postings = models.svd_embeddings(docs, "job_id"), sparse.as_postings(docs, "job_id")
+        held, postings = models.fit_svd(docs, "job_id").embed(rows, docs, "job_id"), sparse.as_postings(docs, "job_id")
     else:
-        vec = encoder.encode(rows.select("job_id", "__text"), "__text").select("job_id", F.col("embedding").alias("vector"))
+        held = encoder.encode(rows, "__text").withColumnRenamed("embedding", "vector")
         postings = sparse.tfidf(rows, "job_id", "__text", sparse.LABELS)
-    labelled, centroids = clusters.fit_clusters(rows.join(vec, "job_id"), "vector", k, "job_id")
+    labelled, centroids = clusters.fit_clusters(held, "vector", k, "job_id")
     labelled = labelled.cache()
     labels = clusters.label_clusters(labelled, sparse.top_terms(postings, labelled, "job_id", "cluster_id"), found.skill)
     metrics = clusters.cluster_metrics(labelled, "vector", centroids, labels, found.skill)
@@ -157,12 +156,10 @@ def skill_evolution(jobs: DataFrame, size: str = "M", max_rows: int | None = Non
     vocab = pin(sparse.fit(rows, "job_id", "__text", sparse.CLUSTERS))
     docs = sparse.doc_vectors(rows, "job_id", "__text", sparse.CLUSTERS, vocab).persist()
     svd = models.fit_svd(docs, "job_id")
-    embed = lambda d, i: svd.transform(d, i).withColumn("vector", unit(F.col("vector")))
     # the prompts are transformed by what the jobs have taught, and teach nothing themselves
     prompts = rows.sparkSession.createDataFrame([(d, p) for d, (_, _, p) in skills.DOMAINS.items()], "domain string, __text string")
-    seeds = {r["domain"]: r["vector"] for r in embed(sparse.doc_vectors(prompts, "domain", "__text", sparse.CLUSTERS, vocab), "domain").collect()}
-    named = {d: seeds.get(d, [0.0] * svd.basis.shape[1]) for d in skills.DOMAINS}
-    held = rows.join(embed(docs, "job_id"), "job_id", "left")
+    named = {r["domain"]: r["vector"] for r in svd.embed(prompts, sparse.doc_vectors(prompts, "domain", "__text", sparse.CLUSTERS, vocab), "domain").collect()}
+    held = svd.embed(rows, docs, "job_id")
     text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("__text", found.skill) if c))
     jobs_in = skills.assign_domains(held, "vector", named, text, confidence, margin).drop("vector", "__text").persist()
     long = skills.skill_long(rows, found.skill)

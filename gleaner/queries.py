@@ -47,9 +47,9 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 # --- bins, audit, profile ---------------------------------------------------
 
 
-@query("select strftime(ts, '%Y-%m') as month, count(*) as \"rows\" from events where ts is not null group by 1")
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as \"rows\" from orders where o_orderdate is not null group by 1")
 def volume_month(spark, d):
-    return audit.volumes(_t(spark, d, "events"))
+    return audit.volumes(_t(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts")))
 
 
 @query("""select strftime(date_trunc('week', ts), '%Y-%m-%d') || '/' || strftime(date_trunc('week', ts) + interval 6 day, '%Y-%m-%d') as week, count(*) as "rows"
@@ -360,10 +360,24 @@ def top_terms(spark, d):
     return _rounded(sparse.top_terms(sparse.tfidf(docs, "doc_id", "text", _PLAIN), docs, "doc_id", "lang"), "mean_weight")
 
 
-@query()
+_BIGRAMS = """tok as (select doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}_]{2,}') as ws from documents),
+            g as (select doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as term from tok), tf as (select doc_id, term, count(*) as tf from g group by 1, 2),
+            df as (select term, count(*) as df from tf group by 1 having count(*) >= 2 order by sum(tf) desc, term limit 30000), nd as (select count(*) as n from documents),
+            w as (select doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from tf join df using (term), nd),
+            l as (select doc_id, sqrt(sum(w * w)) as l from w group by 1), p as (select doc_id, term, w / l as weight from w join l using (doc_id))"""
+
+
+@query("with " + _BIGRAMS + """, q as (select term, weight as q from p where doc_id = 3), s as (select doc_id, sum(weight * q) as s from p join q using (term) where doc_id <> 3 group by 1),
+       a as (select d.doc_id, coalesce(s, 0) as score from documents d left join s on d.doc_id = s.doc_id where d.doc_id <> 3 order by 2 desc, 1 limit 10)
+       select row_number() over (order by score desc, doc_id)::int as rank, doc_id, round(score, 6) as score from a""")
 def tfidf_retrieval(spark, d):
     docs = _t(spark, d, "documents")
-    return sparse.sparse_top_k(sparse.tfidf(docs, "doc_id", "text", sparse.RETRIEVAL), docs, 3, 10, "doc_id")
+    return _rounded(sparse.sparse_top_k(sparse.tfidf(docs, "doc_id", "text", sparse.RETRIEVAL), docs, 3, 10, "doc_id"), "score")
+
+
+@query("with " + _TFIDF + " select term, df, round(ln((1.0 + n) / (1.0 + df)) + 1, 6) as idf from df, nd")
+def tfidf_vocabulary(spark, d):
+    return _rounded(sparse.fit(_t(spark, d, "documents"), "doc_id", "text", _PLAIN), "idf")
 
 
 @query()
@@ -471,7 +485,12 @@ def kaplan_meier(spark, d):
     return _rounded(lifecycle.kaplan_meier(_spans(spark, d)), "duration_days", "survival")
 
 
-@query()
+@query("with " + _SPANS + """, a as (select cluster_id, t, count(*) filter (e) as k, count(*) filter (not e) as c, count(*) as n from d group by 1, 2),
+       r as (select *, greatest(sum(n) over (partition by cluster_id) - coalesce(sum(c) over (partition by cluster_id order by t rows between unbounded preceding and 1 preceding), 0), 1) as risk from a), f as (select cluster_id, t, greatest(0.0, 1 - k / risk) as f from r where k > 0),
+       v as (select cluster_id, t, case when min(f) over w <= 0 then 0 else exp(sum(ln(case when f > 0 then f end)) over w) end as s from f window w as (partition by cluster_id order by t) union all select distinct cluster_id, 0.0, 1.0 from f),
+       x as (select cluster_id, t, min(s) as s from v group by 1, 2), g as (select cluster_id, i * greatest(max(t), 4000.0) / 89 as t from x, range(90) q(i) group by cluster_id, i),
+       u as (select * from g union select cluster_id, t from x)
+       select u.cluster_id, round(u.t, 6) as duration_days, round(coalesce(x.s, 1.0), 6) as survival from u asof left join x on u.cluster_id = x.cluster_id and u.t >= x.t""")
 def dense_survival(spark, d):
     return _rounded(lifecycle.dense_survival(lifecycle.observed_survival(_spans(spark, d)), 4000.0), "duration_days", "survival")
 
@@ -612,16 +631,77 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def temporal_demo_run(spark: SparkSession, d: str, copies: int = 1) -> pipelines.Run:
+    """The run over all jobs; ``copies`` repeats them under ids of their own, for a benchmark of larger tables."""
+    jobs = _jobs(spark, d)
+    if copies > 1:
+        many = spark.range(copies).withColumnRenamed("id", "copy")
+        jobs = jobs.crossJoin(F.broadcast(many)).withColumn("job_id", F.col("job_id") + F.col("copy") * 1_000_000_000).drop("copy")
+    return pipelines.temporal_demo(jobs, salary=True)
+
+
+def temporal_clusters_run(spark: SparkSession, d: str) -> pipelines.Run:
+    return pipelines.temporal_clusters(_jobs(spark, d), k=12, size="D")
+
+
+def skill_evolution_run(spark: SparkSession, d: str) -> pipelines.Run:
+    return pipelines.skill_evolution(_jobs(spark, d), size="D")
+
+
+#: Whole runs, all tables of which a benchmark writes; the queries below return what SQL can check of them.
+RUNS = {"run_temporal_demo": temporal_demo_run, "run_temporal_clusters": temporal_clusters_run, "run_skill_evolution": skill_evolution_run, "run_temporal_demo_100k": lambda spark, d: temporal_demo_run(spark, d, 10)}
+_DAY = "(date '2024-01-01' + to_months((doc_id % 5)::int) + to_days((doc_id % 28)::int))"
+
+
+@query("""with s as (select doc_id % 5 as m, unnest([lower(trim(lang)), lower(trim(source))]) as skill from documents where lang is not null and source is not null),
+          c as (select skill, count(*) filter (m = (select min(m) from s)) as a, count(*) filter (m = (select max(m) from s)) as b from s where skill <> '' group by 1), t as (select sum(a) as ta, sum(b) as tb from c)
+          select skill, a as first_count, b as last_count, round(a / ta, 6) as first_share, round(b / tb, 6) as last_share, round(b / tb - a / ta, 6) as share_delta, case when b / tb - a / ta >= 0 then 'rising' else 'declining' end as trend from c, t where a + b > 0""")
 def run_temporal_demo(spark, d):
-    return pipelines.temporal_demo(_jobs(spark, d), salary=True).tables["drift"]
+    """Skill growth of the run."""
+    found = temporal_demo_run(spark, d).tables["growth"].select("skill", "first_count", "last_count", "first_share", "last_share", "share_delta", "trend")
+    return _rounded(found, "first_share", "last_share", "share_delta")
 
 
-@query()
+@query("""with j as (select doc_id % 5 as m, doc_id % 4 > 0 and n_chars * 10 + 20000 > 0 as paid from documents), c as (select m, count(*) as n, count(*) filter (paid) as p from j group by 1), s as (select *, lag(m) over (order by m) as pm, lag(n) over (order by m) as pn, lag(p) over (order by m) as pp from c)
+          select strftime(date '2024-01-01' + to_months(m::int), '%Y-%m') as month, strftime(date '2024-01-01' + to_months(pm::int), '%Y-%m') as previous_month, pn as n_from, n as n_to, pp as n_salary_from, p as n_salary_to, round(pp / pn, 6) as salary_coverage_from, round(p / n, 6) as salary_coverage_to, true as drifts from s where pm is not null""")
+def run_salary_drift(spark, d):
+    """Bins, counts and coverages of the run's salary-weighted drift; the drift itself only lies in its range."""
+    found = temporal_demo_run(spark, d).tables["salary_drift"].withColumn("drifts", F.col("centroid_drift").between(0.0, 2.0))
+    return _rounded(found.drop("centroid_drift", "cosine_similarity"), "salary_coverage_from", "salary_coverage_to")
+
+
+@query("select strftime(" + _DAY + """, '%Y-%m-%d') as time_bin, count(*) as n_jobs, 1.0::double as share_jobs, count(*) filter (doc_id % 4 > 0) as n_with_salary, count(*) filter (trim(lang || ', ' || source) <> '') as n_with_skills from documents group by 1""")
 def run_temporal_clusters(spark, d):
-    return pipelines.temporal_clusters(_jobs(spark, d), k=12, size="D").tables["metrics"]
+    """The run's metrics summed over clusters, whatever these are."""
+    found = temporal_clusters_run(spark, d).tables["metrics"]
+    found = found.groupBy("time_bin").agg(*(F.sum(c).alias(c) for c in ("n_jobs", "share_jobs", "n_with_salary", "n_with_skills")))
+    return _rounded(found, "share_jobs")
 
 
-@query()
+@query("""with s as (select distinct doc_id, strftime(""" + _DAY + """, '%Y-%m-%d') as time_bin, lower(trim(unnest([lang, source]))) as skill from documents where lang is not null and source is not null)
+          select time_bin, skill, count(*) as skill_job_count from s where skill <> '' group by 1, 2""")
 def run_skill_evolution(spark, d):
-    return pipelines.skill_evolution(_jobs(spark, d), size="D").tables["shares"]
+    """The run's skill counts summed over domains, whichever these are, with names in lower case."""
+    found = skill_evolution_run(spark, d).tables["shares"]
+    return found.groupBy("time_bin", F.lower("skill").alias("skill")).agg(F.sum("skill_job_count").alias("skill_job_count"))
+
+
+def _hits(words: list[str]) -> str:
+    return " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) // {len(w)}" for w in words)
+
+
+_ASSIGNED = "t as (select doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[/;|]', ' ', 'g'), '\\s+', ' ', 'g')) as low from documents), k as (select doc_id, [" + ", ".join(f"{{'s': {_hits(v[1])}, 'o': {-i}, 'd': '{n}'}}" for i, (n, v) in enumerate(skills.DOMAINS.items())) + "] as every from t), a as (select doc_id, list_max(every) as best from k)"
+
+
+@query("with " + _ASSIGNED + """ select doc_id, best.s::int as keyword_score, case when best.s > 0 then best.d else 'health' end as domain, case when best.s >= 1 then 'keyword_fallback' else 'embedding' end as domain_source from a""")
+def domain_assignment(spark, d):
+    """Domains by keywords alone: without vectors every similarity is 0."""
+    found = skills.assign_domains(_t(spark, d, "documents").select("doc_id", "text"), None, None, F.col("text"))
+    return found.select("doc_id", "keyword_score", "domain", "domain_source")
+
+
+@query("with " + _ASSIGNED + ", c as (select case when best.s > 0 then best.d else 'health' end as domain, doc_id from a), e as (select unnest([" + ", ".join(f"'{n}'" for n in skills.DOMAINS) + """]) as domain)
+       select e.domain, count(doc_id) as n_jobs, count(doc_id) as n_uncertain from e left join c on c.domain = e.domain group by 1""")
+def domain_counts(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("job_id"), "text")
+    return skills.domain_counts(skills.assign_domains(docs, None, None, F.col("text"))).select("domain", "n_jobs", "n_uncertain")
