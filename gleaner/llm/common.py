@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..lineage import pin
 
 _SLICE = 1024  # rows that are Python objects at a time
+#: Edges a task takes, about, when components are contracted.
+EDGES = 50_000
 
 
 def mapped(df: DataFrame, inputs: list[str], add: str, make: Callable[..., Iterable[tuple[Any, list[Any]]]]) -> DataFrame:
@@ -72,14 +74,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = pin(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
     while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = -(-before[0] // EDGES)  # tasks for the edges that are left; without effect where there are fewer already
+        both = e.coalesce(few).unionByName(e.coalesce(few).select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = pin(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+            .unionByName(small.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few)
         )
         after = _state(e)
         if after == before:
