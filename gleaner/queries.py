@@ -346,8 +346,8 @@ _PLAIN = sparse.Config(None, bigrams=False, min_df=2, sublinear=True)
 
 
 @query("with " + _TFIDF + """, q as (select term, weight as q from p where doc_id = 3), s as (select doc_id, sum(weight * q) as s from p join q using (term) where doc_id <> 3 group by 1),
-       a as (select d.doc_id, coalesce(s, 0) as score from documents d left join s on d.doc_id = s.doc_id where d.doc_id <> 3 order by 2 desc, 1 limit 10)
-       select row_number() over (order by score desc, doc_id)::int as rank, doc_id, round(score, 6) as score from a""")
+       a as (select d.doc_id, coalesce(s, 0) as score from documents d left join s on d.doc_id = s.doc_id where d.doc_id <> 3 order by round(coalesce(s, 0), 9) desc, 1 limit 10)
+       select row_number() over (order by round(score, 9) desc, doc_id)::int as rank, doc_id, round(score, 6) as score from a""")
 def sparse_top_k(spark, d):
     docs = _t(spark, d, "documents")
     return _rounded(sparse.sparse_top_k(sparse.tfidf(docs, "doc_id", "text", _PLAIN), docs, 3, 10, "doc_id"), "score")
@@ -368,8 +368,8 @@ _BIGRAMS = """tok as (select doc_id, regexp_extract_all(lower(strip_accents(coal
 
 
 @query("with " + _BIGRAMS + """, q as (select term, weight as q from p where doc_id = 3), s as (select doc_id, sum(weight * q) as s from p join q using (term) where doc_id <> 3 group by 1),
-       a as (select d.doc_id, coalesce(s, 0) as score from documents d left join s on d.doc_id = s.doc_id where d.doc_id <> 3 order by 2 desc, 1 limit 10)
-       select row_number() over (order by score desc, doc_id)::int as rank, doc_id, round(score, 6) as score from a""")
+       a as (select d.doc_id, coalesce(s, 0) as score from documents d left join s on d.doc_id = s.doc_id where d.doc_id <> 3 order by round(coalesce(s, 0), 9) desc, 1 limit 10)
+       select row_number() over (order by round(score, 9) desc, doc_id)::int as rank, doc_id, round(score, 6) as score from a""")
 def tfidf_retrieval(spark, d):
     docs = _t(spark, d, "documents")
     return _rounded(sparse.sparse_top_k(sparse.tfidf(docs, "doc_id", "text", sparse.RETRIEVAL), docs, 3, 10, "doc_id"), "score")
