@@ -45,6 +45,11 @@ def skill_long(df: DataFrame, skills: str | None, id_col: str = "job_id") -> Dat
     return df.select(id_col, F.explode(split_evolution(F.col(skills))).alias("skill"))
 
 
+def append_skills(long: DataFrame, more: DataFrame) -> DataFrame:
+    """The ``(id, skill)`` rows of both tables, each pair once; columns are matched by name."""
+    return long.unionByName(more.select(*long.columns)).distinct()
+
+
 def keyword_domain(text: Column) -> Column:
     """Struct ``(domain, score)`` of the largest keyword score in a ``keyword_text``; the first domain of equals."""
     ranked = [F.struct(keyword_score(text, words, made=True).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("domain")) for i, (name, (_, words, _)) in enumerate(DOMAINS.items())]

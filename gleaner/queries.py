@@ -686,6 +686,14 @@ def run_skill_evolution(spark, d):
     return found.groupBy("time_bin", F.lower("skill").alias("skill")).agg(F.sum("skill_job_count").alias("skill_job_count"))
 
 
+@query("""select distinct job_id, skill from (select doc_id as job_id, case lower(trim(lang)) when 'r' then 'R' else upper(trim(lang))[1] || lower(trim(lang))[2:] end as skill from documents where trim(coalesce(lang, '')) <> ''
+          union all select doc_id, case quality when 1 then 'Good' else 'Poor' end from labels union all select doc_id, 'En' from labels)""")
+def append_skills(spark, d):
+    docs, marks = _t(spark, d, "documents").withColumnRenamed("doc_id", "job_id"), _t(spark, d, "labels")
+    more = marks.select(F.explode(F.array(F.when(F.col("quality") == 1, "Good").otherwise("Poor"), F.lit("En"))).alias("skill"), F.col("doc_id").alias("job_id"))
+    return skills.append_skills(skills.skill_long(docs, "lang"), more)
+
+
 def _hits(words: list[str]) -> str:
     return " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) // {len(w)}" for w in words)
 
