@@ -16,10 +16,10 @@ add up, and what connects their classes, but no pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import chain, combinations, pairwise, product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,39 +113,45 @@ def _hashed(vectors: DataFrame, how: dict) -> DataFrame:
     return mapped(vectors, ["salt", "bare", "v"], "salt long, vec binary, keys array<long>", make)
 
 
-def _links_in(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
-    """Of a group's pairs whose smallest common key is the group's: how many vectors each class links with, and the least class it is connected with."""
-    key, i, j = group[["key", "i", "j"]].iloc[0]
-    found = [pd.DataFrame({"cid": [], "more": [], "least": []}, dtype=np.int64)]
-    for _, same in group.groupby("size_of", sort=False) if group["size_of"].nunique() > 1 else [(0, group)]:
-        unit = np.frombuffer(b"".join(same["vec"]), kind).astype(np.float64).reshape(len(same), -1)
-        unit = unit / np.abs(unit).max(1, keepdims=True)
-        unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-        cid, salt, block, n = (same[c].to_numpy() for c in ("cid", "salt", "block", "n"))
-        left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(same)),) * 2
+def _links_in(key: int, apart: tuple[int, int], part: dict[str, np.ndarray], unit: np.ndarray, threshold: float) -> tuple[np.ndarray, ...] | None:
+    """Of a group's pairs whose smallest common key is the group's: the classes with links, how many vectors each links with, and the least class it is connected with."""
+    cid, salt, n, keys = (part[c] for c in ("cid", "salt", "n", "keys"))
+    i, j = apart
+    if i == j:
+        a, b = np.nonzero(unit @ unit.T >= threshold)
+        ok = cid[a] < cid[b]
+    else:
+        left, right = np.flatnonzero(part["block"] == i), np.flatnonzero(part["block"] == j)
         a, b = np.nonzero(unit[left] @ unit[right].T >= threshold)
         a, b = left[a], right[b]
-        ok = (salt[a] == salt[b]) & ((cid[a] < cid[b]) if i == j else (cid[a] != cid[b]))
-        a, b = a[ok], b[ok]
-        if not len(a):
-            continue
-        keys = np.stack(same["keys"].to_list())
-        first = np.zeros(len(a), bool)
-        for s in range(0, len(a), 4096):
-            x, y = keys[a[s : s + 4096]], keys[b[s : s + 4096]]
-            common = (x[:, :, None] == y[:, None, :]).any(2)
-            first[s : s + 4096] = np.where(common, x, np.iinfo(np.int64).max).min(1) == key
-        a, b = a[first], b[first]
-        more, least, before = np.zeros(len(same), np.int64), cid.copy(), None
-        np.add.at(more, a, n[b])
-        np.add.at(more, b, n[a])
-        while before is None or (least != before).any():
-            before = least.copy()
-            np.minimum.at(least, a, before[b])
-            np.minimum.at(least, b, before[a])
-        rows = np.flatnonzero(more)
-        found.append(pd.DataFrame({"cid": cid[rows], "more": more[rows], "least": least[rows]}))
-    return pd.concat(found)
+        ok = cid[a] != cid[b]
+    ok &= salt[a] == salt[b]
+    a, b = a[ok], b[ok]
+    first = np.zeros(len(a), bool)
+    for s in range(0, len(a), 4096):
+        x, y = keys[a[s : s + 4096]], keys[b[s : s + 4096]]
+        common = (x[:, :, None] == y[:, None, :]).any(2)
+        first[s : s + 4096] = np.where(common, x, np.iinfo(np.int64).max).min(1) == key
+    a, b = a[first], b[first]
+    if not len(a):
+        return None
+    more, least, before = np.zeros(len(cid), np.int64), cid.copy(), None
+    np.add.at(more, a, n[b])
+    np.add.at(more, b, n[a])
+    while before is None or (least != before).any():
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, before[a])
+    rows = np.flatnonzero(more)
+    return cid[rows], more[rows], least[rows]
+
+
+def _units(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors' bytes of one size."""
+    unit = np.frombuffer(b"".join(vectors), kind).astype(np.float64).reshape(len(vectors), -1)
+    unit /= np.abs(unit).max(1, keepdims=True)
+    unit /= np.sqrt((unit**2).sum(1, keepdims=True))
+    return unit
 
 
 def class_links(classes: DataFrame, threshold: float, kind: str = "f8", block_rows: int = 512) -> DataFrame:
@@ -165,23 +171,36 @@ def class_links(classes: DataFrame, threshold: float, kind: str = "f8", block_ro
     # a row of block b goes to the pairs of blocks (i, j), i <= j, that b is one of
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "salt", "vec", "keys", "n", F.octet_length("vec").alias("size_of"))
-    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            k = pdf[["key", "i", "j"]].to_numpy()
-            edges = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            starts = [0, *edges.tolist()]
-            out = [_links_in(pdf.iloc[s:e], threshold, kind) for s, e in zip(starts, starts[1:], strict=False) if e - s > 1]
-            rest = pdf.iloc[starts[-1] :]
-            if out:
-                yield pd.concat(out)
-        if rest is not None and len(rest) > 1:
-            yield _links_in(rest, threshold, kind)
-
-    return dealt.mapInPandas(run, "cid long, more long, least long")
+    by = ["key", "i", "j", "size_of"]
+    dealt = met.repartition("key", "i", "j").sortWithinPartitions(*by)
+
+    def groups(rows: pa.RecordBatch, edges: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+        part = {c: rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "cid", "salt", "n")}
+        part["keys"] = rows.column("keys").flatten().to_numpy().reshape(rows.num_rows, -1)
+        vec = rows.column("vec").to_pylist()
+        for s, e in pairwise(edges):
+            if e - s > 1:
+                mine = {c: x[s:e] for c, x in part.items()}
+                links = _links_in(mine["key"][0], (mine["i"][0], mine["j"][0]), mine, _units(vec[s:e], kind), threshold)
+                if links:
+                    yield links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in chain(batches, [None]):
+            rows = rest if batch is None else batch if rest is None else pa.concat_batches([rest, batch])
+            if rows is None or not rows.num_rows:
+                continue
+            k = np.stack([rows.column(c).to_numpy() for c in by])
+            edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
+            if batch is not None:  # the last group may go on
+                rest = rows.slice(edges[-2])
+                edges.pop()
+            found = list(groups(rows, edges))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["cid", "more", "least"])
+
+    return dealt.mapInArrow(run, "cid long, more long, least long")
 
 
 def near_dups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = 2, probes: int = 8, scale: float = 1.5) -> DataFrame:

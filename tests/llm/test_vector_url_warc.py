@@ -119,8 +119,15 @@ def brute_lattice(rows, threshold):
     return sorted((r[0], len(x), c, r[0] == c) for r, x, c in zip(rows, links, comp, strict=True))
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_lattice_against_brute_force(spark, monkeypatch, block):
+@pytest.fixture
+def batch_rows(spark, request):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize(("block", "batch_rows"), [(512, 10_000), (4, 10_000), (512, 7), (4, 1)], indirect=["batch_rows"])
+def test_lattice_against_brute_force(spark, monkeypatch, block, batch_rows):
     monkeypatch.setattr(lattice.class_links, "__defaults__", ("f8", block))
     rng = np.random.default_rng(3)
     rows, base = [], [rng.normal(size=24) for _ in range(6)]
