@@ -443,6 +443,29 @@ def _plain(v):
     return v if v is None or isinstance(v, (int, bool)) else str(v)
 
 
+def against_sql(spark, folder, name, order):
+    """Rows of a query over the documents in ``folder``, and those of its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, str(folder))
+    want = con.execute(f"select {', '.join(df.columns)} from ({queries.ORACLE_SQL[name]}) order by {order}").fetchall()
+    return [tuple(r) for r in df.orderBy(*order.split(", ")).collect()], want
+
+
+def documents(spark, folder, texts):
+    data = [(i if not isinstance(t, tuple) else t[0], t if not isinstance(t, tuple) else t[1], "en", "web", 10) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int").repartition(3).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+
+
+def test_keyword_domain_lowers_and_splits(spark, tmp_path):
+    documents(spark, tmp_path, ["SOFTWARE Developer", "Nurse|PATIENT", "Lead;generation|CRM", "plain", None, " CUSTOMER /  service "])
+    got, want = against_sql(spark, tmp_path, "keyword_domain", "doc_id")
+    assert got == want
+    assert [r[1:] for r in got] == [("tech", 2), ("health", 2), ("sales", 2), ("health", 0), ("health", 0), ("sales", 1)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
