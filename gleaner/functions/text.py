@@ -68,9 +68,9 @@ def keyword_text(text: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[/;|]", " "))
 
 
-def keyword_score(text: Column, keywords: list[str], made: bool = False) -> Column:
-    """Occurrences of the keywords as substrings; a keyword listed twice counts twice. ``made``: the text is ``keyword_text`` already."""
-    low = text if made else keyword_text(text)
+def keyword_score(text: Column, keywords: list[str]) -> Column:
+    """Occurrences of the keywords as substrings; a keyword listed twice counts twice."""
+    low = keyword_text(text)
     total = F.lit(0)
     for kw in keywords:
         total = total + ((F.length(low) - F.length(F.replace(low, F.lit(kw), F.lit("")))) / F.lit(len(kw))).cast("int")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_score, keyword_text, split_evolution, split_growth
+from ..functions.text import keyword_text, split_evolution, split_growth
 from ..functions.vector import dot
 
 # The domains, in the order that breaks ties, with keywords and prompts.
@@ -50,11 +51,24 @@ def append_skills(long: DataFrame, more: DataFrame) -> DataFrame:
     return long.unionByName(more.select(*long.columns)).distinct()
 
 
+def keyword_scores(text: Column) -> Column:
+    """The keyword score of each domain, in their order, in a ``keyword_text``; as ``keyword_score``, with all keywords counted in one pass over the rows."""
+    words = [w for _, w, _ in DOMAINS.values()]
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[sum(map(t.count, of)) for of in words] for t in texts.fillna("")], dtype=object)
+
+    return run(text)
+
+
 def keyword_domain(text: Column) -> Column:
-    """Struct ``(domain, score)`` of the largest keyword score in a ``keyword_text``; the first domain of equals."""
-    ranked = [F.struct(keyword_score(text, words, made=True).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("domain")) for i, (name, (_, words, _)) in enumerate(DOMAINS.items())]
-    best = F.greatest(*ranked)
-    return F.struct(best["domain"].alias("domain"), best["score"].alias("score"))
+    """Struct ``(score, order, domain)`` of the largest keyword score in a ``keyword_text``; the first domain of equals.
+
+    It isn't wrapped in another struct: the optimiser would copy the scores to wherever a field is read.
+    """
+    scores = keyword_scores(text)
+    return F.greatest(*(F.struct(scores[i].alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("domain")) for i, name in enumerate(DOMAINS)))
 
 
 def assign_domains(df: DataFrame, vector: str | None, prompts: dict[str, list[float]] | None, text: Column, confidence: float = 0.15, margin: float = 0.03) -> DataFrame:
@@ -67,15 +81,15 @@ def assign_domains(df: DataFrame, vector: str | None, prompts: dict[str, list[fl
     names = list(DOMAINS)
     near = [dot(F.col(vector), F.array(*(F.lit(float(x)) for x in prompts[n]))) if vector and prompts else F.lit(0.0) for n in names]
     ranked = F.reverse(F.array_sort(F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("d")) for i, (n, s) in enumerate(zip(names, near, strict=True))))))
-    # the squeezed text is a column of its own, made once, though 61 keywords are counted in it
-    out = df.withColumn("__r", ranked).withColumn("__low", keyword_text(text)).withColumn("__k", keyword_domain(F.col("__low"))).drop("__low")
+    out = df.withColumn("__r", ranked).withColumn("__k", keyword_domain(keyword_text(text)))
     best, second, kw = F.col("__r")[0]["s"], F.col("__r")[1]["s"], F.col("__k.score")
     by_keyword = (kw >= 2) | ((kw >= 1) & (best < confidence))
     labels = F.create_map(*(F.lit(x) for n, v in DOMAINS.items() for x in (n, v[0])))
     out = out.withColumns({
         "domain_score": best, "domain_margin": best - second, "embedding_domain": F.col("__r")[0]["d"],
         "keyword_domain": F.when(kw > 0, F.col("__k.domain")), "keyword_score": kw,
-        "domain": F.when(by_keyword, F.col("__k.domain")).otherwise(F.col("__r")[0]["d"]),
+        # never null, and known to be: a join on it would otherwise filter by it first, and so count the keywords twice
+        "domain": F.coalesce(F.when(by_keyword, F.col("__k.domain")).otherwise(F.col("__r")[0]["d"]), F.lit(names[0])),
         "domain_source": F.when(by_keyword, "keyword_fallback").otherwise("embedding"),
         "is_uncertain": (best < confidence) | (best - second < margin),
     })

@@ -466,6 +466,15 @@ def test_keyword_domain_lowers_and_splits(spark, tmp_path):
     assert [r[1:] for r in got] == [("tech", 2), ("health", 2), ("sales", 2), ("health", 0), ("health", 0), ("sales", 1)]
 
 
+def test_keywords_of_domains_are_counted_once(spark, tmp_path):
+    documents(spark, tmp_path, ["studentstudents data", "health care " * 50, "salesales nurse", None, "Software/Data"])
+    for name in ("domain_counts", "domain_assignment", "keyword_domain"):
+        got, want = against_sql(spark, tmp_path, name, "domain" if name == "domain_counts" else "doc_id")
+        assert got == want
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 == plan.count("(?U)\\s+")
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
