@@ -475,6 +475,26 @@ def test_keywords_of_domains_are_counted_once(spark, tmp_path):
         assert plan.count("ArrowEvalPython") == 1 == plan.count("(?U)\\s+")
 
 
+def test_documents_are_whole_over_batches_and_chunks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sparse, "CHUNK", 3)
+    rows_of = [(None, ["a"]), (None, ["b", "a"]), (1, ["c", "c", "d"]), (2, []), (3, ["e"]), (3, ["e", "f"]), (3, ["g"]), (4, ["h"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([w for _, w in part], pa.list_(pa.string()))], ["i", "w"]) for part in (rows_of[:1], rows_of[1:5], rows_of[5:6], rows_of[6:])]
+    found = [(i, [words[r].as_py() for r in range(len(of)) if of[r] == at]) for ids, of, words in sparse._documents(iter(batches)) for at, i in enumerate(ids.to_pylist())]
+    assert found == [(None, [["a"], ["b", "a"]]), (1, [["c", "c", "d"]]), (2, [[]]), (3, [["e"], ["e", "f"], ["g"]]), (4, [["h"]])]
+
+
+def test_terms_are_counted_without_a_row_for_each(spark, tmp_path):
+    documents(spark, tmp_path, [(7, "one two one"), (7, "two three"), (8, "one, Two; x three three"), (9, None), (10, "")])
+    got, want = against_sql(spark, tmp_path, "tfidf_vocabulary", "term")
+    assert got == want and [r[:2] for r in got] == [("one", 2), ("three", 2), ("two", 2)]
+    plan = queries.QUERIES["tfidf_vocabulary"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [doc_id" not in plan
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(rows(sparse.terms(df.where("doc_id = 7"), "doc_id", "text", sparse.Config()), "term", "tf")) == [("one", 2), ("one two", 1), ("three", 1), ("two", 2), ("two one", 1), ("two three", 1)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
