@@ -30,7 +30,8 @@ def fit_clusters(df: DataFrame, vector: str, k: int, id_col: str, seed: int = 42
     Clusters are numbered by size, then by centroid, so that ids don't depend
     on the fit's own order. k is at most the number of distinct vectors.
     """
-    data = df.select(id_col, array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features")).persist()
+    data = df.select(id_col, array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
+    data = data.coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()  # read some 150 times: as many tasks as cores
     k = max(1, min(k, data.select("features").distinct().limit(k).count()))
     fits = [KMeans(k=max(2, k), seed=seed + i, maxIter=50).fit(data) for i in range(tries)] if k > 1 else []
     spark = df.sparkSession

@@ -512,3 +512,47 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted(names) == sorted(df.columns)
     want = found.fetchall()
     assert sorted(str([_plain(x) for x in r]) for r in want) == sorted(str([_plain(r[c]) for c in names]) for r in got)
+
+
+def test_rare_terms_of_chunks_are_counted_when_they_matter(spark, monkeypatch):
+    """A term that is rare in every chunk, but not in all of them, stays in a bounded vocabulary with its exact counts."""
+    texts = [f"big dog big dog low{i} key{i % 2} far{i % 3}" for i in range(12)] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(3)
+    for config in (sparse.Config(3, False), sparse.Config(4, min_df=2), sparse.Config(6, max_df=0.6), sparse.Config(5, stop_words=("big",)), sparse.Config(10**6)):
+        found = []
+        for rare in (0.0, 0.04, 0.06, 0.2):  # all, part or none of the counts are made at first
+            monkeypatch.setattr(sparse, "RARE", rare)
+            vectors = sparse.coded(df, "i", "t", config)
+            found.append((rows(sparse.fit(df, "i", "t", config), "term", "df", "idf"), sorted((r.i, sorted((vectors.terms[t], round(w, 9)) for t, w in zip(r.t, r.w, strict=True))) for r in vectors.docs.collect())))
+            assert vectors.terms == sorted(vectors.terms) and len(vectors.terms) == len(found[-1][0])
+        assert all(f == found[0] for f in found)
+    assert {r.term: r.df for r in sparse.fit(df, "i", "t", sparse.Config(4)).collect()} == {"big": 24, "big dog": 24, "dog": 24, "dog big": 24}
+
+
+def test_held_words_are_whole_chunks():
+    import pyarrow as pa
+
+    part = lambda data: pa.RecordBatch.from_pylist([dict(zip("inwx", r)) for r in data], pa.schema([("i", pa.int64()), ("n", pa.bool_()), ("w", pa.list_(pa.int32())), ("x", pa.list_(pa.string()))]))
+    batches = [part([(1, True, [0, 1], ["a", "b"]), (1, False, [1], None)]), part([(2, True, [], None)]), part([(3, True, [0], ["c"]), (4, True, [0], ["d"])]), part([(None, True, [], None)])]
+    found = [(ids.to_pylist(), of.tolist(), row.tolist(), [names[c].as_py() for c in code]) for ids, of, row, code, names in sparse._held_chunks(iter(batches))]
+    assert found == [([1, 2], [0, 0, 1], [0, 0, 1], ["a", "b", "b"]), ([3], [0], [0], ["c"]), ([4, None], [0, 1], [0], ["d"])]
+
+
+def test_top_terms_and_top_k_by_number(spark):
+    df = spark.createDataFrame([(1, "a1 b1 b1", "x"), (2, "b1 c1", "x"), (3, "c1 d1 d1", None), (4, None, "y"), (5, "a1 d1", "y"), (5, "b1", "y")], "i long, t string, g string")
+    config = sparse.Config(50, sublinear=True)
+    vectors, postings = sparse.coded(df, "i", "t", config), sparse.tfidf(df, "i", "t", config)
+    near = lambda d: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()]
+    assert sorted(near(sparse.coded_top_terms(vectors, df, "i", "g"))) == sorted(near(sparse.top_terms(postings, df, "i", "g")))
+    assert near(sparse.coded_top_k(vectors, df, 1, 9, "i")) == near(sparse.sparse_top_k(postings, df, 1, 9, "i"))
+    assert rows(vectors.named("i"), "i")[-1] == (5,)
+
+
+def test_runs_hold_no_texts(spark, jobs):
+    """What a run holds does not grow with the texts: they are read, and only numbers are kept."""
+    for made in (lambda: pipelines.temporal_demo(jobs, salary=True).tables["salary_drift"], lambda: pipelines.temporal_clusters(jobs, k=3).tables["metrics"]):
+        spark.catalog.clearCache()
+        plan = made()._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan
+        assert not [line for line in plan.splitlines() if "InMemoryRelation" in line and ("description" in line or "job_card_text" in line or "__text" in line)]
+    spark.catalog.clearCache()
