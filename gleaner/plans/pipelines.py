@@ -72,13 +72,14 @@ def temporal_demo(jobs: DataFrame, time_column: str = "listed_time", size: str =
     """Centroid drift, skill growth, and on demand the salary-weighted drift and diagnostic clusters."""
     rows = _prepare(jobs, time_column, size, sample, mode)
     sizes = rows.groupBy("month").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_jobs).select("month")
-    rows = rows.join(F.broadcast(sizes), "month", "left_semi").cache()  # one row for each time bin
+    whole = rows.join(F.broadcast(sizes), "month", "left_semi")  # one row for each time bin
+    rows = whole.drop("job_card_text", "description").cache()  # texts are read from the input, and not held
     if representation == "tfidf_svd":
-        docs = sparse.doc_vectors(rows, "job_id", "job_card_text", sparse.DRIFT).persist()
+        docs = sparse.coded(whole.select("job_id", "job_card_text"), "job_id", "job_card_text", sparse.DRIFT)
         held = models.fit_svd(docs, "job_id").embed(rows, docs, "job_id").cache()
     else:
         coder = encoder or models.MockEncoder()
-        held = coder.encode(rows, "job_card_text").withColumnRenamed("embedding", "vector").cache()
+        held = coder.encode(whole, "job_card_text").withColumnRenamed("embedding", "vector").drop("job_card_text", "description").cache()
     centroids = vectors.normalized(vectors.mean_vectors(held, ["month"], "vector"))
     out = {
         "drift": vectors.drift(centroids, "month", keep_first=representation == "tfidf_svd").withColumnRenamed("n", "jobs_in_month"),
