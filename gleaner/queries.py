@@ -372,7 +372,7 @@ _BIGRAMS = """tok as (select doc_id, regexp_extract_all(lower(strip_accents(coal
        select row_number() over (order by round(score, 9) desc, doc_id)::int as rank, doc_id, round(score, 6) as score from a""")
 def tfidf_retrieval(spark, d):
     docs = _t(spark, d, "documents")
-    return _rounded(sparse.sparse_top_k(sparse.tfidf(docs, "doc_id", "text", sparse.RETRIEVAL), docs, 3, 10, "doc_id"), "score")
+    return _rounded(sparse.coded_top_k(sparse.coded(docs, "doc_id", "text", sparse.RETRIEVAL), docs, 3, 10, "doc_id"), "score")
 
 
 @query("with " + _TFIDF + " select term, df, round(ln((1.0 + n) / (1.0 + df)) + 1, 6) as idf from df, nd")
