@@ -538,12 +538,18 @@ def test_held_words_are_whole_chunks():
     assert found == [([1, 2], [0, 0, 1], [0, 0, 1], ["a", "b", "b"]), ([3], [0], [0], ["c"]), ([4, None], [0, 1], [0], ["d"])]
 
 
-def test_top_terms_and_top_k_by_number(spark):
+def test_top_terms_and_top_k_by_number(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a1 b1 b1", "x"), (2, "b1 c1", "x"), (3, "c1 d1 d1", None), (4, None, "y"), (5, "a1 d1", "y"), (5, "b1", "y")], "i long, t string, g string")
-    config = sparse.Config(50, sublinear=True)
+    config, config2 = sparse.Config(50, sublinear=True), sparse.Config(2500, bigrams=False)
     vectors, postings = sparse.coded(df, "i", "t", config), sparse.tfidf(df, "i", "t", config)
     near = lambda d: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()]
     assert sorted(near(sparse.coded_top_terms(vectors, df, "i", "g"))) == sorted(near(sparse.top_terms(postings, df, "i", "g")))
+    for common in (0, 2, 1000):  # none, some or all terms are summed where they lie
+        monkeypatch.setattr(sparse, "COMMON", common)
+        for plain in (sparse.Config(sublinear=True), sparse.Config(bigrams=False, min_df=2)):
+            assert sorted(near(sparse.text_top_terms(df, "i", "t", "g", plain)), key=str) == sorted(near(sparse.top_terms(sparse.tfidf(df, "i", "t", plain), df, "i", "g")), key=str)
+    many = spark.createDataFrame([(i, f"t{i} t{i} t{i % 7}", i) for i in range(3000)], "i long, t string, g long")  # 3,000 groups: their sums are not held
+    assert sorted(near(sparse.coded_top_terms(sparse.coded(many, "i", "t", config2), many, "i", "g"))) == sorted(near(sparse.top_terms(sparse.tfidf(many, "i", "t", config2), many, "i", "g")))
     assert near(sparse.coded_top_k(vectors, df, 1, 9, "i")) == near(sparse.sparse_top_k(postings, df, 1, 9, "i"))
     assert rows(vectors.named("i"), "i")[-1] == (5,)
 
